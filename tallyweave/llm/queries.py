@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import mixing
 
@@ -45,6 +51,13 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shards_of(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import outliers
+
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return outliers.judge(table(spark, sf_dir, "documents")).select(*columns)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import decontam
 
@@ -52,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op7_token_counts, op8_token_shards, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secrets, op3_mixing, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
