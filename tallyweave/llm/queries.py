@@ -33,12 +33,30 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import warc
+
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import mixing
 
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import langid
+
+    return langid.languages_of(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import quality
+
+    return quality.quality_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import tokencount
 
@@ -65,7 +83,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_mixing, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secrets, op2_warc, op3_mixing, op5_language, op6_quality, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
