@@ -45,6 +45,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import dartminhash
+
+    return dartminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import langid
 
@@ -83,7 +89,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_warc, op3_mixing, op5_language, op6_quality, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secrets, op2_warc, op3_mixing, op4_near_duplicates, op5_language, op6_quality, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
