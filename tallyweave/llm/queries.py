@@ -88,8 +88,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_warc, op3_mixing, op4_near_duplicates, op5_language, op6_quality, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_secrets, op2_warc, op3_mixing, op4_near_duplicates, op5_language, op6_quality, op7_token_counts, op8_token_shards, op9_quality_rules, op10_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
