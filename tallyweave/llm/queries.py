@@ -99,4 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tallyweave.llm import sql
+
+    return dict(sql.SQL)
