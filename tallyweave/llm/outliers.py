@@ -26,7 +26,7 @@ LEAST_GROUP = 100
 TAIL = 1e-6
 #: The least standard deviation of each feature: differences below it mean nothing, and a feature that most documents
 #: have at zero would else make the covariance singular.
-FLOOR = (0.05, 0.06, 0.06, 0.10)
+FLOOR = (0.05, 0.06, 0.15, 0.15)
 #: Groups are counted before their estimates are broadcast; more than so many are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 
