@@ -4,8 +4,8 @@ Documents are first counted by membership pattern, the set of sources that may c
 each pattern and each source. A pattern gives its words up to `max_repeats` times; the first pass over them is free and
 each further one costs one more than the last, so repetition is spread before it is deepened. A source takes up to its
 quota. The cheapest flow that fills the quotas says how many words each pattern gives. Whole passes go to all of a
-pattern's documents; the rest is given by documents in the order of a seeded hash up to a cut, and by the one further
-document whose size is nearest to what is then missing.
+pattern's documents; the rest is given by documents in the order of a seeded hash up to a cut, and by a few further ones,
+each the document whose size is nearest to what is then missing.
 """
 
 from __future__ import annotations
@@ -23,6 +23,12 @@ SEED = 20_011
 MAX_PATTERNS = 100_000
 #: Bits of the seeded hash in the first and the second histogram that find the cut.
 FINE_BITS = 12
+#: Documents of a pattern that are chosen by their size alone, at most.
+EXTRAS = 6
+#: The cut stops short of what is missing by so many documents of mean size, which leaves the further ones a choice.
+SHORT = 3
+#: No more of them once what is missing is below this share of the words that the pattern gives.
+NEAR = 0.0005
 
 
 def quotas(sizes: list[int], cap: int = MAX_REPEATS) -> list[float]:
@@ -113,7 +119,8 @@ def plan(rows: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame,
     """
     spark = rows.sparkSession
     by_pattern = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    found = [(tuple(r.pattern), r.words) for r in by_pattern.limit(MAX_PATTERNS + 1).collect()]
+    counted = by_pattern.limit(MAX_PATTERNS + 1).collect()
+    found, n_docs = [(tuple(r.pattern), r.words) for r in counted], {tuple(r.pattern): r.n for r in counted}
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"there are over {MAX_PATTERNS} membership patterns")
     names = sorted({s for p, _ in found for s in p}, key=lambda s: (s is None, s or ""))
@@ -127,8 +134,11 @@ def plan(rows: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame,
     found.sort(key=lambda x: [number[s] for s in x[0]])
     given = route([(tuple(sorted({number[s] for s in p})), words) for p, words in found], [round(q) for q in goal])
     about = [{"source": s, "source_size": sizes[k], "target": goal[k]} for s, k in number.items()]
-    rows_out = [(list(p), g // words if words else 0, g % words if words else 0) for (p, words), g in zip(found, given, strict=True)]
-    return spark.createDataFrame(rows_out, "pattern array<string>, passes long, missing long"), about
+    rows_out = []
+    for (p, words), g in zip(found, given, strict=True):
+        passes, missing = divmod(g, words) if words else (0, 0)
+        rows_out.append((list(p), passes, missing, max(0, missing - SHORT * words // n_docs[p]), g))
+    return spark.createDataFrame(rows_out, "pattern array<string>, passes long, missing long, aim long, words long"), about
 
 
 def _overlapping(sizes: list[int], total: int) -> list[float]:
@@ -137,25 +147,39 @@ def _overlapping(sizes: list[int], total: int) -> list[float]:
     return [g * total / (sum(goal) or 1.0) for g in goal]
 
 
-def choose(rows: DataFrame, passes: DataFrame) -> DataFrame:
-    """To each pattern's passes: `cut`, so that documents placed below it give one pass more, and `extra`, the id of one more.
+def choose(rows: DataFrame, passes: DataFrame) -> list[dict]:
+    """For each pattern its passes, `cut`, so that documents placed below it give one pass more, and `extra`, the ids of some more.
 
     Two histograms of the seeded place narrow the cut down to 2^-24 of a pattern; both are sums by pattern and bin, so no
-    task holds the documents of a pattern.
+    task holds the documents of a pattern. What reaches the driver is a row for each pattern.
     """
+    spark = rows.sparkSession
     w = Window.partitionBy("pattern").orderBy("bin")
     placed = rows.select("pattern", "doc_id", "size", _place(F.col("doc_id")).alias("place")).where("size > 0").join(F.broadcast(passes.where("missing > 0")), "pattern")
-    coarse = placed.groupBy("pattern", "missing", F.shiftright("place", FINE_BITS).alias("bin")).agg(F.sum("size").alias("size"))
+    coarse = placed.where("aim > 0").groupBy("pattern", "aim", F.shiftright("place", FINE_BITS).alias("bin")).agg(F.sum("size").alias("size"))
     coarse = coarse.withColumn("upto", F.sum("size").over(w))
-    first = coarse.where("upto >= missing and upto - size < missing").select("pattern", F.col("bin").alias("at"), (F.col("upto") - F.col("size")).alias("before"))
+    first = coarse.where("upto >= aim and upto - size < aim").select("pattern", F.col("bin").alias("at"), (F.col("upto") - F.col("size")).alias("before"))
     fine = placed.join(F.broadcast(first), "pattern").where(F.shiftright("place", FINE_BITS) == F.col("at"))
-    fine = fine.groupBy("pattern", "missing", "before", F.col("place").alias("bin")).agg(F.sum("size").alias("size"))
+    fine = fine.groupBy("pattern", "aim", "missing", "before", F.col("place").alias("bin")).agg(F.sum("size").alias("size"))
     fine = fine.withColumn("upto", F.col("before") + F.sum("size").over(w))
-    cut = fine.where("upto >= missing and upto - size < missing").select("pattern", F.when(F.col("upto") == F.col("missing"), F.col("bin") + 1).otherwise(F.col("bin")).alias("cut"), F.when(F.col("upto") == F.col("missing"), F.lit(0)).otherwise(F.col("missing") - F.col("upto") + F.col("size")).alias("gap"))
-    beyond = placed.join(F.broadcast(cut), "pattern").where("place >= cut and gap > 0")
-    near = F.abs(F.col("size") - F.col("gap"))
-    extra = beyond.where(near < F.col("gap")).groupBy("pattern").agg(F.min(F.struct(near, "place", "doc_id")).alias("best")).select("pattern", F.col("best.doc_id").alias("extra"))
-    return passes.join(F.broadcast(cut.drop("gap")), "pattern", "left").join(F.broadcast(extra), "pattern", "left").select("pattern", "passes", "cut", "extra")
+    cut = fine.where("upto >= aim and upto - size < aim").select("pattern", F.col("bin").alias("cut"), (F.col("missing") - F.col("upto") + F.col("size")).alias("gap"))
+    plans = {tuple(r.pattern): {"pattern": r.pattern, "passes": r.passes, "words": r.words, "cut": 0, "gap": r.missing, "extra": []} for r in passes.collect()}
+    for r in cut.collect():
+        plans[tuple(r.pattern)] |= {"cut": r.cut, "gap": r.gap}
+    for k in range(EXTRAS):
+        # the largest that fits what is missing; in the end one that exceeds it, if that is nearer
+        short = [(p["pattern"], p["cut"], p["gap"], p["extra"]) for p in plans.values() if p["gap"] > NEAR * p["words"]]
+        if not short:
+            break
+        gaps = spark.createDataFrame(short, "pattern array<string>, cut long, gap long, extra array<long>")
+        fits = (F.col("size") <= F.col("gap")) if k < EXTRAS - 1 else (F.col("size") < 2 * F.col("gap"))
+        beyond = placed.drop("passes", "missing", "aim", "words").join(F.broadcast(gaps), "pattern").where((F.col("place") >= F.col("cut")) & fits & ~F.array_contains("extra", F.col("doc_id")))
+        best = beyond.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place", "doc_id", "size")).alias("best"))
+        for r in best.collect():
+            own = plans[tuple(r.pattern)]
+            own["extra"] = [*own["extra"], r.best.doc_id]
+            own["gap"] -= r.best.size
+    return list(plans.values())
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -164,7 +188,7 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
 
 def _repeats(size: Column, place: Column, doc_id: Column) -> Column:
     """How often a document is taken, given its pattern's row."""
-    more = (size > 0) & (F.coalesce(place < F.col("cut"), F.lit(False)) | F.coalesce(doc_id == F.col("extra"), F.lit(False)))
+    more = (size > 0) & (F.coalesce(place < F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("extra", doc_id), F.lit(False)))
     return F.col("passes") + F.when(more, 1).otherwise(0)
 
 
@@ -173,10 +197,10 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, list[dict]]:
     spark = rows.sparkSession
     rows = rows.withColumn("pattern", F.array("source"))
     passes, about = plan(rows)
-    settled = [(r.pattern[0], r.passes, r.cut, r.extra) for r in choose(rows, passes).collect()]
+    settled = [(p["pattern"][0], p["passes"], p["cut"], p["extra"]) for p in choose(rows, passes)]
     by_source = {a["source"]: a for a in about}
     data = [(s, p, c, e, by_source[s]["source_size"], by_source[s]["target"]) for s, p, c, e in settled]
-    return spark.createDataFrame(data, "known string, passes long, cut long, extra long, source_size long, target double"), about
+    return spark.createDataFrame(data, "known string, passes long, cut long, extra array<long>, source_size long, target double"), about
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
