@@ -12,10 +12,21 @@ K coordinates by its hash, and a coordinate's value is its dart of least rank. T
 with an empty coordinate.
 
 Bands of ROWS coordinates make candidates; BANDS are so many that a pair at SIMILARITY shares none with probability below
-1e-5. Documents of equal multisets are one node. In each bucket of a band all nodes are compared with one of them; where
-a bucket's nodes then lie in several components, those outside its largest are compared with all others of the bucket.
-So each pair of nodes of a bucket is compared or was already connected, and a large bucket of near copies costs no more
-than one comparison for each node.
+1e-5. Documents of equal multisets are one node. The nodes of a band's value are a bucket.
+
+In buckets of up to SMALL nodes all pairs are compared, so a node is in few pairs however many buckets there are. Larger
+buckets that share nodes are a group. A group has a reference, the multiset of what at least two of three of its nodes
+have, and each node is compared with the reference, and with one hub, the node that is nearest to it. Write I for what a
+node shares with the reference and x', y' for what x and y have beyond it. Whatever the reference is, x and y share at
+most min(I_x, I_y) + |x' & y'|. So two nodes that the hub doesn't connect can only be near if
+
+* x' and y' share as many elements as are missing. By the prefix principle the first few elements of x' and y' in the
+  order of their hashes then have one in common: those elements are the keys of new buckets, treated like the first;
+* or both are all but contained in the reference: those pairs are compared where their sizes and I allow it.
+
+So no near pair of a large bucket is passed over, unless its nodes are connected already, and a large group of near
+copies costs each node two comparisons and a few keys. After LEVELS rounds all pairs of what is left in buckets are
+compared.
 """
 
 from __future__ import annotations
@@ -35,6 +46,12 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
+#: Buckets of up to so many nodes are compared in pairs; larger ones so often by way of a hub.
+SMALL, LEVELS = 32, 6
+#: Up to so many ids are broadcast to pick the texts that a comparison needs; more are joined by a shuffle of all texts.
+BROADCAST_IDS = 2_000_000
+#: A graph of up to so many edges is solved in one task.
+SMALL_GRAPH = 500_000
 #: Texts whose darts are thrown at once.
 AT_ONCE = 192
 
@@ -152,7 +169,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h
 
 
-SIGNATURE = "doc_id long, node long, print long, bands array<long>"
+SIGNATURE = "doc_id long, node long, print long, size long, bands array<long>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,68 +180,177 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = min(high, begin + AT_ONCE)
                 n = end - begin
                 text, hashes = shingles(raw, at[begin : end + 1])
-                some = np.bincount(text, minlength=n) > 0
+                size = np.bincount(text, minlength=n)
+                some = size > 0
                 node, other = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 np.add.at(node, text, common.mix64(hashes))
                 np.add.at(other, text, common.mix64(hashes ^ _U(0xD6E8FEB86659FD93)))
                 found = bands(signatures(text, hashes, n)).view(np.int64)
                 none = pa.array(~some)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(found.reshape(-1)), mask=none)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(node.view(np.int64), mask=~some), pa.array(other.view(np.int64), mask=~some), lists], names=["doc_id", "node", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(node.view(np.int64), mask=~some), pa.array(other.view(np.int64), mask=~some), pa.array(size.astype(np.int64)), lists], names=["doc_id", "node", "print", "size", "bands"])
 
 
-PAIR = "a long, b long, similarity double"
+PAIR = "a long, b long"
 
 
 def _near(threshold: float):
+    """Of pairs (a, b) of nodes with their texts those that are near."""
+
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (raw_a, at_a), (raw_b, at_b) = common.utf8(batch.column("text_a")), common.utf8(batch.column("text_b"))
             for low, high in common.slices(at_a + at_b):
                 n = high - low
+                part = batch.slice(low, n)
                 (text_a, hash_a), (text_b, hash_b) = shingles(raw_a, at_a[low : high + 1]), shingles(raw_b, at_b[low : high + 1])
-                is_a = np.zeros(n, np.uint64)
-                np.add.at(is_a, text_a, common.mix64(hash_a))
-                is_b = np.zeros(n, np.uint64)
-                np.add.at(is_b, text_b, common.mix64(hash_b))
                 (key_a, n_a), (key_b, n_b) = weighted(text_a, hash_a), weighted(text_b, hash_b)
                 both, in_a, in_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-                least = np.bincount((both >> _U(44)).astype(np.int64), np.minimum(n_a[in_a], n_b[in_b]), n)
-                most = np.bincount(text_a, minlength=n) + np.bincount(text_b, minlength=n) - least
-                similarity = least / np.maximum(most, 1)
-                part = batch.slice(low, n)
+                shared = np.bincount((both >> _U(44)).astype(np.int64), np.minimum(n_a[in_a], n_b[in_b]), n)
+                near = shared >= threshold * (np.bincount(text_a, minlength=n) + np.bincount(text_b, minlength=n) - shared) - 1e-9
                 a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
                 # a repeated id may have brought another text than the node's
-                ok = (similarity >= threshold) & (is_a.view(np.int64) == a) & (is_b.view(np.int64) == b)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(similarity[ok])], names=["a", "b", "similarity"])
+                near &= (_sums(text_a, hash_a, n).view(np.int64) == a) & (_sums(text_b, hash_b, n).view(np.int64) == b)
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
 
     return checked
 
 
-def check_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity is `threshold` or more, from their texts.
+def _reference(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of what two of three texts have; of fewer texts, what any has."""
+    raw, at = common.utf8(pa.array(texts, pa.string()))
+    text, hashes = shingles(raw, at)
+    keys, count = weighted(text, hashes)
+    own, where = np.unique(keys & _U((1 << 44) - 1), return_inverse=True)
+    table = np.zeros((len(texts), len(own)), np.int64)
+    table[(keys >> _U(44)).astype(np.int64), where] = count
+    most = np.sort(table, axis=0)[-2 if len(texts) > 2 else -1]
+    return own[most > 0], most[most > 0]
+
+
+DELTA = "label long, node long, size long, shared long, contained boolean, keys array<long>"
+
+
+def _beyond(threshold: float):
+    """For nodes (label, node, least) with their text and the texts that their group's reference is made of: size, what they
+    share with the reference, whether they are all but contained in it, and their keys. No node of the group is smaller
+    than `least`."""
+    share = threshold / (1 + threshold)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            raw, at = common.utf8(batch.column("text"))
+            for low, high in common.slices(at):
+                n = high - low
+                part = batch.slice(low, n)
+                text, hashes = shingles(raw, at[low : high + 1])
+                real = _sums(text, hashes, n).view(np.int64) == part.column("node").to_numpy()
+                keys, count = weighted(text, hashes)
+                size = np.bincount(text, minlength=n)
+                cut = np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << _U(44))
+                beyond = count.copy()
+                for k, refs in enumerate(part.column("refs").to_pylist()):
+                    if (which := tuple(refs)) not in known:
+                        if len(known) > 64:
+                            known.clear()
+                        known[which] = _reference(sorted(refs))
+                    own = keys[cut[k] : cut[k + 1]] & _U((1 << 44) - 1)
+                    _, here, there = np.intersect1d(own, known[which][0], assume_unique=True, return_indices=True)
+                    beyond[cut[k] + here] -= np.minimum(count[cut[k] + here], known[which][1][there])
+                shared = size - np.bincount((keys >> _U(44)).astype(np.int64), beyond, n).astype(np.int64)
+                smallest = np.maximum(threshold * size, part.column("least").to_numpy())
+                missing = np.ceil(share * (size + smallest) - shared - 1e-9)
+                lists = _keys(keys, beyond, missing, real)
+                columns = [part.column("label"), part.column("node"), pa.array(size.astype(np.int64)), pa.array(shared), pa.array(missing <= 0), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["label", "node", "size", "shared", "contained", "keys"]).filter(pa.array(real))
+
+    return found
+
+
+def _sums(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """The node of each text."""
+    out = np.zeros(n, np.uint64)
+    np.add.at(out, text, common.mix64(hashes))
+    return out
+
+
+def _keys(key: np.ndarray, beyond: np.ndarray, missing: np.ndarray, wanted: np.ndarray) -> list[list[int]]:
+    """The first elements of what each text has beyond its hub, all but `missing` - 1 of them, in the order of a hash; an
+    element stands there as often as it is beyond, each time as another one."""
+    own = np.repeat(key, beyond)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(beyond) - beyond, beyond)
+    element = common.mix64((own & _U((1 << 44) - 1)) + nth.astype(np.uint64) * _U(1 << 44))
+    text = (own >> _U(44)).astype(np.int64)
+    order = np.lexsort((element, text))
+    element, border = element[order].view(np.int64), np.searchsorted(text[order], np.arange(len(wanted) + 1))
+    out: list[list[int]] = []
+    for k, use in enumerate(wanted.tolist()):
+        low, high = int(border[k]), int(border[k + 1])
+        kept = max(0, high - low - max(int(missing[k]), 1) + 1) if use else 0
+        out.append(element[low : low + kept].tolist())
+    return out
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) with one of the ids (id), where those are few enough to broadcast; else all rows."""
+    known = ids.distinct()
+    if known.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return texts
+    return texts.join(F.broadcast(known), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+
+def compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes that are near, from their texts.
 
     Both joins deal the texts by id, so the second reuses the exchange of the first; a hot node's partition can be split.
     """
     ids = nodes.select("node", "doc_id")
-    named = pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
-    first = named.join(texts.toDF("doc_id", "text_a"), F.col("id_a").eqNullSafe(F.col("doc_id"))).drop("doc_id", "id_a")
-    both = first.join(texts.toDF("doc_id", "text_b"), F.col("id_b").eqNullSafe(F.col("doc_id"))).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_near(threshold), PAIR)
+    named = common.checkpoint(pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b"))
+    few = _texts_of(texts, named.select(F.explode(F.array("id_a", "id_b")).alias("id")))
+    first = named.join(few.toDF("doc_id", "text_a"), F.col("id_a").eqNullSafe(F.col("doc_id"))).drop("doc_id", "id_a")
+    both = first.join(few.toDF("doc_id", "text_b"), F.col("id_b").eqNullSafe(F.col("doc_id"))).select("a", "b", "text_a", "text_b")
+    return common.checkpoint(both.mapInArrow(_near(threshold), PAIR))
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all edges (u, v): least neighbours and jumps to the label's label, until nothing changes."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label of each node of an edge, the label being the least node of its component.
 
-    Large stars and small stars in turn (R. Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): each
-    round reads and writes edges alone, with sums by node before they are dealt, until nothing changes.
+    The edges are counted first. Up to SMALL_GRAPH of them are solved in one task of an executor. More are solved by large
+    stars and small stars in turn (R. Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): each round reads
+    and writes edges alone, with sums by node before they are dealt, until nothing changes.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     now = common.checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if now.count() <= SMALL_GRAPH:
+        return common.checkpoint(now.coalesce(1).mapInArrow(_solve, "node long, label long"))
     seen = state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -241,9 +367,71 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) once each, the lesser node first."""
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _deltas(large: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """What `_beyond` says of each node of the large buckets (key, node, n, first), by group (label)."""
+    groups = components(large.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    meets = large.groupBy("node").agg(F.sum("n").alias("meets"))
+    known = common.checkpoint(groups.join(meets, "node").join(nodes.select("node", "doc_id", "size"), "node"))
+    few = _texts_of(texts, known.select(F.col("doc_id").alias("id")))
+    # the reference is made of the nodes that meet most others in each third of the group
+    best = known.groupBy("label", F.pmod("node", F.lit(3)).alias("third")).agg(F.max(F.struct("meets", "node", "doc_id")).alias("best")).select("label", "best.doc_id")
+    refs = best.join(few.toDF("id", "ref"), F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("label").agg(F.slice(F.array_sort(F.collect_set("ref")), 1, 3).alias("refs"))
+    least = known.groupBy("label").agg(F.min("size").cast("double").alias("least"))
+    rows = known.select("label", "node", F.col("doc_id").alias("id")).join(few, F.col("id").eqNullSafe(F.col("doc_id"))).join(refs, "label").join(least, "label")
+    return common.checkpoint(rows.select("label", "node", "least", "refs", "text").mapInArrow(_beyond(threshold), DELTA))
+
+
+def _contained(deltas: DataFrame, labels: DataFrame, hubs: DataFrame, share: float) -> DataFrame:
+    """Pairs of nodes all but contained in their group's reference, one of them not connected to its hub, that their sizes
+    allow to be near."""
+    own = labels.toDF("of", "component")
+    inside = deltas.where("contained").join(own, deltas["node"] == own["of"], "left").select("label", "node", "shared", "size", F.coalesce("component", "node").alias("component"))
+    of_hub = hubs.join(own, hubs["hub"] == own["of"], "left").select("label", F.coalesce("component", "hub").alias("hubs"))
+    left = inside.join(of_hub, "label").where("component <> hubs").select("label", F.col("node").alias("a"), F.col("shared").alias("i_a"), F.col("size").alias("n_a"), F.col("component").alias("c_a"))
+    allowed = F.least("i_a", "shared") >= share * (F.col("n_a") + F.col("size")) - 1e-9
+    return _ordered(left.join(inside.withColumnRenamed("node", "b"), "label").where(allowed & (F.col("c_a") != F.col("component"))).select("a", "b"))
+
+
+def near_labels(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """node, label: the components of near nodes among those that share a bucket (key, node)."""
+    edges = labels = None
+    for level in range(LEVELS + 1):
+        if labels is None:
+            sized = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+        else:  # what is connected already needs no comparison
+            buckets = common.checkpoint(buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+            sized = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low <> high").drop("low", "high")
+            buckets = buckets.drop("label")
+        members = common.checkpoint(buckets.join(sized, "key"))
+        small = members.where(F.col("n") <= (SMALL if level < LEVELS else 1 << 62)).select("key", "node")
+        pairs = _ordered(small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b"))
+        large = members.where(F.col("n") > SMALL)
+        grouped = level < LEVELS and not large.isEmpty()
+        if grouped:
+            deltas = _deltas(large, nodes, texts, threshold)
+            nearest = F.max(F.struct((2 * F.col("shared") - F.col("size")).alias("near"), "node"))
+            hubs = common.checkpoint(deltas.groupBy("label").agg(nearest.alias("best")).select("label", F.col("best.node").alias("hub")))
+            pairs = pairs.unionByName(_ordered(deltas.join(hubs, "label").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+        found = compare(pairs.distinct(), nodes, texts, threshold)
+        edges = found if edges is None else edges.unionByName(found)
+        labels = components(edges)
+        if not grouped:
+            return labels
+        rest = common.checkpoint(_contained(deltas, labels, hubs, threshold / (1 + threshold)))
+        if not rest.isEmpty():
+            edges = edges.unionByName(compare(rest, nodes, texts, threshold))
+            labels = components(edges)
+        buckets = common.checkpoint(deltas.select("label", "node", F.explode("keys").alias("s")).select(F.xxhash64("label", "s").alias("key"), "node"))
+        if buckets.isEmpty():
+            return labels
+        common.forget(nodes.sparkSession)
+    return labels
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id, the least doc_id of the class, of each row.
 
@@ -254,26 +442,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_i
     signed = common.checkpoint(rows.mapInArrow(_signed, SIGNATURE))
     worded = signed.where("node is not null")
     # equal multisets: one node, with sums before the exchange, so a large group of copies is one row for each task
-    nodes = common.checkpoint(worded.groupBy("node", "print").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("center")).where("n > 1")
-    members = common.checkpoint(banded.join(buckets.select("band", "center"), "band"))
-    tested = common.checkpoint(_ordered(members.select(F.col("center").alias("a"), F.col("node").alias("b"))))
-    edges = common.checkpoint(check_pairs(tested, nodes, rows, threshold))
-    labels = components(edges)
-    # buckets in several components: those outside the largest against the rest
-    marked = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    sizes = marked.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1").select("band", F.col("top.label").alias("top"))
-    mixed = common.checkpoint(marked.join(largest, "band"))
-    outside = mixed.where("label <> top").select("band", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    others = mixed.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = _ordered(outside.join(others, "band").where("label_a <> label_b").select("a", "b"))
-    rest = common.checkpoint(rest.join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = common.checkpoint(check_pairs(rest, nodes, rows, threshold))
-        if not more.isEmpty():
-            labels = components(edges.unionByName(more))
+    nodes = common.checkpoint(worded.groupBy("node", "print").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    labels = near_labels(nodes.select("node", F.explode("bands").alias("key")), nodes, rows, threshold)
     labelled = common.checkpoint(nodes.select("node", "print", "doc_id").join(labels, "node", "left").select("node", "print", "doc_id", F.coalesce("label", "node").alias("label")))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     of_node = labelled.join(least, "label").select(F.col("node").alias("n"), F.col("print").alias("p"), "class_id")
