@@ -26,7 +26,10 @@ LEAST_GROUP = 100
 TAIL = 1e-6
 #: The least standard deviation of each feature: differences below it mean nothing, and a feature that most documents
 #: have at zero would else make the covariance singular.
-FLOOR = (0.05, 0.06, 0.15, 0.15)
+FLOOR = (0.05, 0.06, 0.06, 0.10)
+#: One repeated line is found in clean text, and in a text of a few lines it is a large share: it isn't counted, and the
+#: others are a share of the lines and so many more.
+ONE_LINE, MORE_LINES = 1, 20
 #: Groups are counted before their estimates are broadcast; more than so many are joined by a shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -108,7 +111,7 @@ def vectors(rows: DataFrame) -> DataFrame:
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias("word_length"),
         F.log1p(F.col("n_symbols") / n).alias("symbols"),
-        F.sqrt(F.col("n_dup_lines") / lines).alias("dup_lines"),
+        F.sqrt(F.greatest(F.col("n_dup_lines") - ONE_LINE, F.lit(0)) / (lines + MORE_LINES)).alias("dup_lines"),
         F.sqrt(F.col("n_repeat_words") / n).alias("repeats"),
     )
 

@@ -179,6 +179,21 @@ def test_outliers_are_rejected_and_clean_text_kept(spark):
     assert all(kept[k] for k in range(400)) and not any(kept[1000 + k] for k in range(30))
 
 
+def test_repeats_alone_are_rejected_and_one_repeated_line_kept(spark):
+    random.seed(10)
+    words = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 9))) for _ in range(2000)]
+    some = lambda n: " ".join(random.choice(words) for _ in range(n))
+    phrase, short = some(9), [random.choice(words) for _ in range(25)]
+    again = " ".join(f"{phrase} {some(11)}" for _ in range(10))
+    lined = "\n".join(line for w in short for line in (w, some(9), w, some(9)))
+    clean = f"{some(20)}\n{phrase}\n{some(30)}\n{phrase}\n{some(4)}"
+    rows = [(k, some(120), "en", "s") for k in range(300)] + [(1000, again, "en", "s"), (1001, lined, "en", "s"), (1002, clean, "en", "s")]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000].n_repeat_words == 90 and got[1000].n_words == 200 and got[1001].n_dup_lines == 25 and got[1002].n_dup_lines == 1
+    assert not any(got[k].base_failed for k in (1000, 1001, 1002))
+    assert not got[1000].kept and not got[1001].kept and got[1002].kept
+
+
 def test_chi_square_quantile():
     assert outliers._quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3)
     assert outliers.CONSISTENCY > 1
