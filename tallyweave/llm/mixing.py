@@ -4,8 +4,9 @@ Documents are first counted by membership pattern, the set of sources that may c
 each pattern and each source. A pattern gives its words up to `max_repeats` times; the first pass over them is free and
 each further one costs one more than the last, so repetition is spread before it is deepened. A source takes up to its
 quota. The cheapest flow that fills the quotas says how many words each pattern gives. Whole passes go to all of a
-pattern's documents; the rest is given by documents in the order of a seeded hash up to a cut, and by a few further ones,
-each the document whose size is nearest to what is then missing.
+pattern's documents; the rest is given by documents in the order of a seeded hash up to a cut. A document that would
+exceed it is passed over, and the order goes on with those that are no larger than what is missing; in the end come a few
+further ones, each the document whose size is nearest to what is then missing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ SEED = 20_011
 MAX_PATTERNS = 100_000
 #: Bits of the seeded hash in the first and the second histogram that find the cut.
 FINE_BITS = 12
-#: Documents of a pattern that are chosen by their size alone, at most.
+#: Documents of a pattern that are chosen by their size alone, at most, once the order leaves so few missing.
 EXTRAS = 6
 #: The cut stops short of what is missing by so many documents of mean size, which leaves the further ones a choice.
 SHORT = 3
@@ -147,6 +148,53 @@ def _overlapping(sizes: list[int], total: int) -> list[float]:
     return [g * total / (sum(goal) or 1.0) for g in goal]
 
 
+PARTS = "parts array<struct<low: long, high: long, most: long>>"
+
+
+def _below(size: Column, place: Column) -> Column:
+    """Whether a document lies below its pattern's cut or is in one of the parts of the order after it."""
+    part = F.exists("parts", lambda x: (place >= x["low"]) & (place < x["high"]) & (size <= x["most"]))
+    return F.coalesce((place < F.col("cut")) | part, F.lit(False))
+
+
+def _go_on(placed: DataFrame, plans: dict) -> None:
+    """Add parts of the order after the cut, of documents that fit what is missing, until that is 2 * SHORT of mean size or less, or none are left.
+
+    Each round begins after the place that ended the last, so the rounds end.
+    """
+    spark = placed.sparkSession
+    w = Window.partitionBy("pattern").orderBy("bin")
+    low = {k: p["cut"] for k, p in plans.items()}
+    open_ = {k for k, p in plans.items() if p["gap"] > NEAR * p["words"]}
+    while open_:
+        gaps = spark.createDataFrame([(list(k), low[k], plans[k]["gap"]) for k in open_], "pattern array<string>, low long, gap long")
+        fit = placed.join(F.broadcast(gaps), "pattern").where("place >= low and size <= gap")
+        sums = fit.groupBy("pattern", "gap").agg(F.sum("size").alias("all"), F.count("*").alias("n")).collect()
+        open_, aims = set(), []
+        for r in sums:
+            k, aim = tuple(r.pattern), r.gap - SHORT * r["all"] // r.n
+            if r["all"] <= aim:
+                plans[k]["parts"].append((low[k], 1 << 2 * FINE_BITS, r.gap))
+                plans[k]["gap"] -= r["all"]
+            elif 2 * aim > r.gap:
+                aims.append((r.pattern, aim))
+        if not aims:
+            return
+        fit = fit.join(F.broadcast(spark.createDataFrame(aims, "pattern array<string>, aim long")), "pattern")
+        coarse = fit.groupBy("pattern", "aim", F.shiftright("place", FINE_BITS).alias("bin")).agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(w))
+        first = coarse.where("upto >= aim and upto - size < aim").select("pattern", F.col("bin").alias("at"), (F.col("upto") - F.col("size")).alias("before"))
+        fine = fit.join(F.broadcast(first), "pattern").where(F.shiftright("place", FINE_BITS) == F.col("at"))
+        fine = fine.groupBy("pattern", "aim", "before", F.col("place").alias("bin")).agg(F.sum("size").alias("size"))
+        fine = fine.withColumn("upto", F.col("before") + F.sum("size").over(w))
+        for r in fine.where("upto >= aim and upto - size < aim").collect():
+            k = tuple(r.pattern)
+            plans[k]["parts"].append((low[k], r.bin, plans[k]["gap"]))
+            plans[k]["gap"] -= r.upto - r.size
+            low[k] = r.bin + 1
+            if plans[k]["gap"] > NEAR * plans[k]["words"]:
+                open_.add(k)
+
+
 def choose(rows: DataFrame, passes: DataFrame) -> list[dict]:
     """For each pattern its passes, `cut`, so that documents placed below it give one pass more, and `extra`, the ids of some more.
 
@@ -163,17 +211,18 @@ def choose(rows: DataFrame, passes: DataFrame) -> list[dict]:
     fine = fine.groupBy("pattern", "aim", "missing", "before", F.col("place").alias("bin")).agg(F.sum("size").alias("size"))
     fine = fine.withColumn("upto", F.col("before") + F.sum("size").over(w))
     cut = fine.where("upto >= aim and upto - size < aim").select("pattern", F.col("bin").alias("cut"), (F.col("missing") - F.col("upto") + F.col("size")).alias("gap"))
-    plans = {tuple(r.pattern): {"pattern": r.pattern, "passes": r.passes, "words": r.words, "cut": 0, "gap": r.missing, "extra": []} for r in passes.collect()}
+    plans = {tuple(r.pattern): {"pattern": r.pattern, "passes": r.passes, "words": r.words, "cut": 0, "gap": r.missing, "parts": [], "extra": []} for r in passes.collect()}
     for r in cut.collect():
         plans[tuple(r.pattern)] |= {"cut": r.cut, "gap": r.gap}
+    _go_on(placed.select("pattern", "doc_id", "size", "place"), plans)
     for k in range(EXTRAS):
         # the largest that fits what is missing; in the end one that exceeds it, if that is nearer
-        short = [(p["pattern"], p["cut"], p["gap"], p["extra"]) for p in plans.values() if p["gap"] > NEAR * p["words"]]
+        short = [(p["pattern"], p["cut"], p["parts"], p["gap"], p["extra"]) for p in plans.values() if p["gap"] > NEAR * p["words"]]
         if not short:
             break
-        gaps = spark.createDataFrame(short, "pattern array<string>, cut long, gap long, extra array<long>")
+        gaps = spark.createDataFrame(short, f"pattern array<string>, cut long, {PARTS}, gap long, extra array<long>")
         fits = (F.col("size") <= F.col("gap")) if k < EXTRAS - 1 else (F.col("size") < 2 * F.col("gap"))
-        beyond = placed.drop("passes", "missing", "aim", "words").join(F.broadcast(gaps), "pattern").where((F.col("place") >= F.col("cut")) & fits & ~F.array_contains("extra", F.col("doc_id")))
+        beyond = placed.drop("passes", "missing", "aim", "words").join(F.broadcast(gaps), "pattern").where(~_below(F.col("size"), F.col("place")) & fits & ~F.array_contains("extra", F.col("doc_id")))
         best = beyond.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place", "doc_id", "size")).alias("best"))
         for r in best.collect():
             own = plans[tuple(r.pattern)]
@@ -188,7 +237,7 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
 
 def _repeats(size: Column, place: Column, doc_id: Column) -> Column:
     """How often a document is taken, given its pattern's row."""
-    more = (size > 0) & (F.coalesce(place < F.col("cut"), F.lit(False)) | F.coalesce(F.array_contains("extra", doc_id), F.lit(False)))
+    more = (size > 0) & (_below(size, place) | F.coalesce(F.array_contains("extra", doc_id), F.lit(False)))
     return F.col("passes") + F.when(more, 1).otherwise(0)
 
 
@@ -197,10 +246,10 @@ def _settled(rows: DataFrame) -> tuple[DataFrame, list[dict]]:
     spark = rows.sparkSession
     rows = rows.withColumn("pattern", F.array("source"))
     passes, about = plan(rows)
-    settled = [(p["pattern"][0], p["passes"], p["cut"], p["extra"]) for p in choose(rows, passes)]
+    settled = [(p["pattern"][0], p["passes"], p["cut"], p["parts"], p["extra"]) for p in choose(rows, passes)]
     by_source = {a["source"]: a for a in about}
-    data = [(s, p, c, e, by_source[s]["source_size"], by_source[s]["target"]) for s, p, c, e in settled]
-    return spark.createDataFrame(data, "known string, passes long, cut long, extra array<long>, source_size long, target double"), about
+    data = [(s, p, c, more, e, by_source[s]["source_size"], by_source[s]["target"]) for s, p, c, more, e in settled]
+    return spark.createDataFrame(data, f"known string, passes long, cut long, {PARTS}, extra array<long>, source_size long, target double"), about
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -220,7 +269,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs` as often as the mix takes them, columns as they are."""
     rows = common.checkpoint(_narrow(docs, id_col, text_col, source_col))
     settled, _ = _settled(rows)
-    settled = settled.select(*(F.col(c).alias(c if c in ("passes", "cut", "extra") else f"__{c}") for c in settled.columns))
+    settled = settled.select(*(F.col(c).alias(c if c in ("passes", "cut", "parts", "extra") else f"__{c}") for c in settled.columns))
     clash = {c: f"__mix_{k}" for k, c in enumerate(docs.columns)}
     inner = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in clash.items()))
     joined = inner.join(F.broadcast(settled), inner[clash[source_col]].cast("string").eqNullSafe(F.col("__known")))

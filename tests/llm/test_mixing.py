@@ -57,6 +57,16 @@ def test_mix_follows_targets(spark):
     assert Counter(map(str, got)) == Counter(map(str, again))
 
 
+def test_one_very_long_document_among_short_ones(spark):
+    for seed in range(2):
+        data = [(1000 * seed + k, "w " * 100, "a") for k in range(200)] + [(1000 * seed + 999, "w " * 20_000, "a")]
+        narrow = spark.createDataFrame(data, "doc_id long, text string, source string")
+        docs = mixing._narrow(narrow, "doc_id", "text", "source").withColumn("pattern", mixing.F.array("source"))
+        want = spark.createDataFrame([(["a"], 0, 15_000, 14_400, 15_000)], "pattern array<string>, passes long, missing long, aim long, words long")
+        [p] = mixing.choose(docs, want)
+        assert abs(p["gap"]) <= 100
+
+
 def test_mixed_rows_repeat_whole_documents(spark):
     df = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows()], "doc_id long, text string, source string, passes int")
     taken = Counter()
