@@ -12,21 +12,18 @@ K coordinates by its hash, and a coordinate's value is its dart of least rank. T
 with an empty coordinate.
 
 Bands of ROWS coordinates make candidates; BANDS are so many that a pair at SIMILARITY shares none with probability below
-1e-5. Documents of equal multisets are one node. The nodes of a band's value are a bucket.
-
-In buckets of up to SMALL nodes all pairs are compared, so a node is in few pairs however many buckets there are. Larger
-buckets that share nodes are a group. A group has a reference, the multiset of what at least two of three of its nodes
-have, and each node is compared with the reference, and with one hub, the node that is nearest to it. Write I for what a
-node shares with the reference and x', y' for what x and y have beyond it. Whatever the reference is, x and y share at
-most min(I_x, I_y) + |x' & y'|. So two nodes that the hub doesn't connect can only be near if
-
-* x' and y' share as many elements as are missing. By the prefix principle the first few elements of x' and y' in the
-  order of their hashes then have one in common: those elements are the keys of new buckets, treated like the first;
-* or both are all but contained in the reference: those pairs are compared where their sizes and I allow it.
-
-So no near pair of a large bucket is passed over, unless its nodes are connected already, and a large group of near
-copies costs each node two comparisons and a few keys. After LEVELS rounds all pairs of what is left in buckets are
-compared.
+1e-5. Documents of equal multisets are one node. The nodes of a band's value are a bucket, and candidates are checked on
+the elements of their texts: the runs, each with the number of its occurrence, so that the sum of minima is the size of
+an intersection.
+
+In buckets of up to SMALL nodes all pairs are compared. In a larger bucket each node is compared with one hub, the node
+that meets most others in large buckets, which for near copies is the text that they were made from or close to it. What
+a hub leaves in several components is closed by a prefix join, once for all nodes of such buckets: their elements are
+ordered from rare to frequent among these nodes, and x and y can only share threshold / (1 + threshold) * (|x| + |y|)
+elements if the first that they share has so many behind it, itself included, in both. Entries (element, node) that no
+other size in the element's list allows go first, then lists of a single component; of the others, entries outside the
+list's largest component meet all. So no near pair of a bucket is passed over unless its nodes are connected already, and
+a large group of near copies costs each node one comparison and a few entries.
 """
 
 from __future__ import annotations
@@ -36,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm import common
@@ -46,10 +43,10 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
-#: Buckets of up to so many nodes are compared in pairs; larger ones so often by way of a hub.
-SMALL, LEVELS = 32, 6
+#: Buckets of up to so many nodes are compared in pairs; larger ones by way of a hub and the prefix join.
+SMALL = 16
 #: Up to so many ids are broadcast to pick the texts that a comparison needs; more are joined by a shuffle of all texts.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 #: A graph of up to so many edges is solved in one task.
 SMALL_GRAPH = 500_000
 #: Texts whose darts are thrown at once.
@@ -169,7 +166,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h
 
 
-SIGNATURE = "doc_id long, node long, print long, size long, bands array<long>"
+SIGNATURE = "doc_id long, h long, node long, print long, size long, bands array<long>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,130 +185,55 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = bands(signatures(text, hashes, n)).view(np.int64)
                 none = pa.array(~some)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(found.reshape(-1)), mask=none)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(node.view(np.int64), mask=~some), pa.array(other.view(np.int64), mask=~some), pa.array(size.astype(np.int64)), lists], names=["doc_id", "node", "print", "size", "bands"])
-
-
-PAIR = "a long, b long"
-
-
-def _near(threshold: float):
-    """Of pairs (a, b) of nodes with their texts those that are near."""
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (raw_a, at_a), (raw_b, at_b) = common.utf8(batch.column("text_a")), common.utf8(batch.column("text_b"))
-            for low, high in common.slices(at_a + at_b):
-                n = high - low
-                part = batch.slice(low, n)
-                (text_a, hash_a), (text_b, hash_b) = shingles(raw_a, at_a[low : high + 1]), shingles(raw_b, at_b[low : high + 1])
-                (key_a, n_a), (key_b, n_b) = weighted(text_a, hash_a), weighted(text_b, hash_b)
-                both, in_a, in_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-                shared = np.bincount((both >> _U(44)).astype(np.int64), np.minimum(n_a[in_a], n_b[in_b]), n)
-                near = shared >= threshold * (np.bincount(text_a, minlength=n) + np.bincount(text_b, minlength=n) - shared) - 1e-9
-                a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-                # a repeated id may have brought another text than the node's
-                near &= (_sums(text_a, hash_a, n).view(np.int64) == a) & (_sums(text_b, hash_b, n).view(np.int64) == b)
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), batch.column(2).slice(begin, n), pa.array(node.view(np.int64), mask=~some), pa.array(other.view(np.int64), mask=~some), pa.array(size.astype(np.int64)), lists], names=["doc_id", "h", "node", "print", "size", "bands"])
 
-    return checked
 
-
-def _reference(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of what two of three texts have; of fewer texts, what any has."""
-    raw, at = common.utf8(pa.array(texts, pa.string()))
-    text, hashes = shingles(raw, at)
-    keys, count = weighted(text, hashes)
-    own, where = np.unique(keys & _U((1 << 44) - 1), return_inverse=True)
-    table = np.zeros((len(texts), len(own)), np.int64)
-    table[(keys >> _U(44)).astype(np.int64), where] = count
-    most = np.sort(table, axis=0)[-2 if len(texts) > 2 else -1]
-    return own[most > 0], most[most > 0]
+ELEMENTS = "node long, elements array<long>"
 
 
-DELTA = "label long, node long, size long, shared long, contained boolean, keys array<long>"
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of each text: a hash of a run and of the number of its occurrence, so none stands twice."""
+    for batch in batches:
+        raw, at = common.utf8(batch.column("text"))
+        for low, high in common.slices(at):
+            n = high - low
+            keys, count = weighted(*shingles(raw, at[low : high + 1]))
+            own = np.repeat(keys, count)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            found = common.mix64((own & _U((1 << 44) - 1)) + nth.astype(np.uint64) * _U(1 << 44)).view(np.int64)
+            border = np.searchsorted(own >> _U(44), np.arange(n + 1, dtype=np.uint64)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(border), pa.array(found))
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(low, n), lists], names=["node", "elements"])
 
 
-def _beyond(threshold: float):
-    """For nodes (label, node, least) with their text and the texts that their group's reference is made of: size, what they
-    share with the reference, whether they are all but contained in it, and their keys. No node of the group is smaller
-    than `least`."""
-    share = threshold / (1 + threshold)
+def _same_row(doc_id: str, h: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("h").eqNullSafe(F.col(h))
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            raw, at = common.utf8(batch.column("text"))
-            for low, high in common.slices(at):
-                n = high - low
-                part = batch.slice(low, n)
-                text, hashes = shingles(raw, at[low : high + 1])
-                real = _sums(text, hashes, n).view(np.int64) == part.column("node").to_numpy()
-                keys, count = weighted(text, hashes)
-                size = np.bincount(text, minlength=n)
-                cut = np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << _U(44))
-                beyond = count.copy()
-                for k, refs in enumerate(part.column("refs").to_pylist()):
-                    if (which := tuple(refs)) not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[which] = _reference(sorted(refs))
-                    own = keys[cut[k] : cut[k + 1]] & _U((1 << 44) - 1)
-                    _, here, there = np.intersect1d(own, known[which][0], assume_unique=True, return_indices=True)
-                    beyond[cut[k] + here] -= np.minimum(count[cut[k] + here], known[which][1][there])
-                shared = size - np.bincount((keys >> _U(44)).astype(np.int64), beyond, n).astype(np.int64)
-                smallest = np.maximum(threshold * size, part.column("least").to_numpy())
-                missing = np.ceil(share * (size + smallest) - shared - 1e-9)
-                lists = _keys(keys, beyond, missing, real)
-                columns = [part.column("label"), part.column("node"), pa.array(size.astype(np.int64)), pa.array(shared), pa.array(missing <= 0), pa.array(lists, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["label", "node", "size", "shared", "contained", "keys"]).filter(pa.array(real))
-
-    return found
-
-
-def _sums(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """The node of each text."""
-    out = np.zeros(n, np.uint64)
-    np.add.at(out, text, common.mix64(hashes))
-    return out
 
+def _shelf(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, elements and size of the nodes `wanted` (node, at), from the texts of their rows.
 
-def _keys(key: np.ndarray, beyond: np.ndarray, missing: np.ndarray, wanted: np.ndarray) -> list[list[int]]:
-    """The first elements of what each text has beyond its hub, all but `missing` - 1 of them, in the order of a hash; an
-    element stands there as often as it is beyond, each time as another one."""
-    own = np.repeat(key, beyond)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(beyond) - beyond, beyond)
-    element = common.mix64((own & _U((1 << 44) - 1)) + nth.astype(np.uint64) * _U(1 << 44))
-    text = (own >> _U(44)).astype(np.int64)
-    order = np.lexsort((element, text))
-    element, border = element[order].view(np.int64), np.searchsorted(text[order], np.arange(len(wanted) + 1))
-    out: list[list[int]] = []
-    for k, use in enumerate(wanted.tolist()):
-        low, high = int(border[k]), int(border[k + 1])
-        kept = max(0, high - low - max(int(missing[k]), 1) + 1) if use else 0
-        out.append(element[low : low + kept].tolist())
-    return out
-
+    The texts are picked by a broadcast of the rows' ids where those are counted to be few, else by a shuffle. Repeated
+    rows meet by node, with one text for each task at most.
+    """
+    named = wanted.select("node", F.col("at.id").alias("id"), F.col("at.h").alias("its"))
+    few = named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(named) if few else named, _same_row("id", "its")).select("node", "text")
+    found = texts.dropDuplicates(["node"]).mapInArrow(_elements, ELEMENTS)
+    return common.checkpoint(found.select("node", "elements", F.size("elements").alias("size")))
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (doc_id, text) with one of the ids (id), where those are few enough to broadcast; else all rows."""
-    known = ids.distinct()
-    if known.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
-        return texts
-    return texts.join(F.broadcast(known), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
+def _sizes_allow(a: str, b: str, threshold: float) -> Column:
+    return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
-def compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes that are near, from their texts.
 
-    Both joins deal the texts by id, so the second reuses the exchange of the first; a hot node's partition can be split.
-    """
-    ids = nodes.select("node", "doc_id")
-    named = common.checkpoint(pairs.join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b"))
-    few = _texts_of(texts, named.select(F.explode(F.array("id_a", "id_b")).alias("id")))
-    first = named.join(few.toDF("doc_id", "text_a"), F.col("id_a").eqNullSafe(F.col("doc_id"))).drop("doc_id", "id_a")
-    both = first.join(few.toDF("doc_id", "text_b"), F.col("id_b").eqNullSafe(F.col("doc_id"))).select("a", "b", "text_a", "text_b")
-    return common.checkpoint(both.mapInArrow(_near(threshold), PAIR))
+def compare(pairs: DataFrame, shelf: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes that are near, by their elements."""
+    first = pairs.join(shelf.toDF("a", "elements_a", "size_a"), "a")
+    both = first.join(shelf.toDF("b", "elements_b", "size_b"), "b").where(_sizes_allow("size_a", "size_b", threshold))
+    shared = F.size(F.array_intersect("elements_a", "elements_b"))
+    near = shared >= threshold * (F.col("size_a") + F.col("size_b") - shared) - 1e-9
+    return common.checkpoint(both.where(near).select("a", "b"))
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,104 +288,122 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) once each, the lesser node first."""
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _deltas(large: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """What `_beyond` says of each node of the large buckets (key, node, n, first), by group (label)."""
-    groups = components(large.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    meets = large.groupBy("node").agg(F.sum("n").alias("meets"))
-    known = common.checkpoint(groups.join(meets, "node").join(nodes.select("node", "doc_id", "size"), "node"))
-    few = _texts_of(texts, known.select(F.col("doc_id").alias("id")))
-    # the reference is made of the nodes that meet most others in each third of the group
-    best = known.groupBy("label", F.pmod("node", F.lit(3)).alias("third")).agg(F.max(F.struct("meets", "node", "doc_id")).alias("best")).select("label", "best.doc_id")
-    refs = best.join(few.toDF("id", "ref"), F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("label").agg(F.slice(F.array_sort(F.collect_set("ref")), 1, 3).alias("refs"))
-    least = known.groupBy("label").agg(F.min("size").cast("double").alias("least"))
-    rows = known.select("label", "node", F.col("doc_id").alias("id")).join(few, F.col("id").eqNullSafe(F.col("doc_id"))).join(refs, "label").join(least, "label")
-    return common.checkpoint(rows.select("label", "node", "least", "refs", "text").mapInArrow(_beyond(threshold), DELTA))
-
-
-def _contained(deltas: DataFrame, labels: DataFrame, hubs: DataFrame, share: float) -> DataFrame:
-    """Pairs of nodes all but contained in their group's reference, one of them not connected to its hub, that their sizes
-    allow to be near."""
-    own = labels.toDF("of", "component")
-    inside = deltas.where("contained").join(own, deltas["node"] == own["of"], "left").select("label", "node", "shared", "size", F.coalesce("component", "node").alias("component"))
-    of_hub = hubs.join(own, hubs["hub"] == own["of"], "left").select("label", F.coalesce("component", "hub").alias("hubs"))
-    left = inside.join(of_hub, "label").where("component <> hubs").select("label", F.col("node").alias("a"), F.col("shared").alias("i_a"), F.col("size").alias("n_a"), F.col("component").alias("c_a"))
-    allowed = F.least("i_a", "shared") >= share * (F.col("n_a") + F.col("size")) - 1e-9
-    return _ordered(left.join(inside.withColumnRenamed("node", "b"), "label").where(allowed & (F.col("c_a") != F.col("component"))).select("a", "b"))
-
-
-def near_labels(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """node, label: the components of near nodes among those that share a bucket (key, node)."""
-    edges = labels = None
-    for level in range(LEVELS + 1):
-        if labels is None:
-            sized = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-        else:  # what is connected already needs no comparison
-            buckets = common.checkpoint(buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
-            sized = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low <> high").drop("low", "high")
-            buckets = buckets.drop("label")
-        members = common.checkpoint(buckets.join(sized, "key"))
-        small = members.where(F.col("n") <= (SMALL if level < LEVELS else 1 << 62)).select("key", "node")
-        pairs = _ordered(small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b"))
-        large = members.where(F.col("n") > SMALL)
-        grouped = level < LEVELS and not large.isEmpty()
-        if grouped:
-            deltas = _deltas(large, nodes, texts, threshold)
-            nearest = F.max(F.struct((2 * F.col("shared") - F.col("size")).alias("near"), "node"))
-            hubs = common.checkpoint(deltas.groupBy("label").agg(nearest.alias("best")).select("label", F.col("best.node").alias("hub")))
-            pairs = pairs.unionByName(_ordered(deltas.join(hubs, "label").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
-        found = compare(pairs.distinct(), nodes, texts, threshold)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        if not grouped:
-            return labels
-        rest = common.checkpoint(_contained(deltas, labels, hubs, threshold / (1 + threshold)))
-        if not rest.isEmpty():
-            edges = edges.unionByName(compare(rest, nodes, texts, threshold))
-            labels = components(edges)
-        buckets = common.checkpoint(deltas.select("label", "node", F.explode("keys").alias("s")).select(F.xxhash64("label", "s").alias("key"), "node"))
-        if buckets.isEmpty():
-            return labels
-        common.forget(nodes.sparkSession)
-    return labels
+def _once(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) once each, whichever way around; the way that one of them has stays."""
+    one = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first(F.struct("a", "b")).alias("p"))
+    return one.select("p.a", "p.b")
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, the least doc_id of the class, of each row.
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """`label` beside each row of a node; a node without an edge is its own."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    A text that is null or has no word is like no other, and its class is its own id. Repeated rows are one class. Rows
-    with a null id take part; a class of nothing else has a null class_id.
+
+def _closing(large: DataFrame, labels: DataFrame, shelf: DataFrame, threshold: float) -> DataFrame | None:
+    """Pairs (a, b) of nodes in different components of one large bucket (key, node) that may be near, by a prefix join."""
+    share = threshold / (1 + threshold)
+    members = common.checkpoint(_labelled(large.select("key", "node"), labels))
+    several = common.checkpoint(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"))
+    open_ = common.checkpoint(members.join(several, "key", "left_semi").select("node", "label").distinct())
+    if open_.isEmpty():
+        return None
+    exploded = open_.join(shelf, "node").select("node", "label", "size", F.explode("elements").alias("element"))
+    often = common.checkpoint(exploded.groupBy("element").agg(F.count("*").alias("often")).where("often > 1"))
+    # an element that no other node has comes first in the order and in no list; `rest` counts those from one on
+    order = Window.partitionBy("node").orderBy(F.desc("often"), "element")
+    entries = exploded.join(often, "element").withColumn("rest", F.row_number().over(order))
+    entries = common.checkpoint(entries.where(F.col("rest") >= threshold * F.col("size") - 1e-9).drop("often"))
+    for _ in range(2):
+        of_label = entries.groupBy("element", "label").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+        of_list = of_label.groupBy("element").agg(F.max(F.struct("n", "label")).alias("most"), F.min("least").alias("least"), F.count("*").alias("labels"))
+        of_list = common.checkpoint(of_list.where("labels > 1").select("element", "least", F.col("most.label").alias("main")))
+        partner = F.greatest(F.col("least").cast("double"), threshold * F.col("size"))
+        entries = entries.select("element", "node", "label", "size", "rest").join(of_list, "element").where(F.col("rest") >= share * (F.col("size") + partner) - 1e-9)
+        entries = common.checkpoint(entries.drop("least"))
+    one = entries.where("label <> main").select("element", F.col("node").alias("a"), F.col("label").alias("of_a"), F.col("size").alias("n_a"), F.col("rest").alias("rest_a"))
+    other = entries.select("element", F.col("node").alias("b"), F.col("label").alias("of_b"), F.col("size").alias("n_b"), F.col("rest").alias("rest_b"))
+    enough = F.least("rest_a", "rest_b") >= share * (F.col("n_a") + F.col("n_b")) - 1e-9
+    met = one.join(other, (one["element"] == other["element"]) & (F.col("of_a") != F.col("of_b")) & enough)
+    return common.checkpoint(_once(met.select("a", "b")))
+
+
+def near_labels(buckets: DataFrame, nodes: DataFrame, rows: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """node, label: the components of near nodes among those that share a bucket (key, node).
+
+    nodes has node, size and `at`, the id and the hash of the text of a row that is the node; rows has all rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spark = nodes.sparkSession
+    sized = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = common.checkpoint(buckets.join(sized, "key").join(nodes.select("node", "size", "at"), "node"))
+    common.forget(spark)
+    small = members.where(F.col("n") <= SMALL).select("key", "node", "size")
+    pairs = small.toDF("key", "a", "size_a").join(small.toDF("key", "b", "size_b"), "key").where((F.col("a") < F.col("b")) & _sizes_allow("size_a", "size_b", threshold)).select("a", "b")
+    large = members.where(F.col("n") > SMALL)
+    crowded = not large.isEmpty()
+    if crowded:
+        meets = large.groupBy("node").agg(F.sum("n").alias("meets"))
+        hubs = common.checkpoint(large.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node", "size")).alias("hub")))
+        star = large.select("key", "node", "size").join(hubs.select("key", F.col("hub.node").alias("a"), F.col("hub.size").alias("size_a")), "key")
+        star = star.where((F.col("node") != F.col("a")) & _sizes_allow("size", "size_a", threshold)).select("a", F.col("node").alias("b"))
+        pairs = pairs.unionByName(star.distinct())
+    pairs = common.checkpoint(_once(pairs))
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = (compared.unionByName(large.select("node")) if crowded else compared).distinct()
+    shelf = _shelf(rows, common.checkpoint(wanted.join(nodes.select("node", "at"), "node")))
+    edges = compare(pairs, shelf, threshold)
+    labels = components(edges)
+    common.forget(spark)
+    left = _closing(large, labels, shelf, threshold) if crowded else None
+    if left is None or left.isEmpty():
+        return labels
+    return components(edges.unionByName(compare(left, shelf, threshold)))
+
+
+def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (a hash of the text) and `best` of each row: the id and the h of its class's first row, null where the text has no word."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     signed = common.checkpoint(rows.mapInArrow(_signed, SIGNATURE))
     worded = signed.where("node is not null")
     # equal multisets: one node, with sums before the exchange, so a large group of copies is one row for each task
-    nodes = common.checkpoint(worded.groupBy("node", "print").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")
+    nodes = common.checkpoint(worded.groupBy("node", "print").agg(F.min(at).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     labels = near_labels(nodes.select("node", F.explode("bands").alias("key")), nodes, rows, threshold)
-    labelled = common.checkpoint(nodes.select("node", "print", "doc_id").join(labels, "node", "left").select("node", "print", "doc_id", F.coalesce("label", "node").alias("label")))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    of_node = labelled.join(least, "label").select(F.col("node").alias("n"), F.col("print").alias("p"), "class_id")
-    found = worded.join(of_node, (F.col("node") == F.col("n")) & (F.col("print") == F.col("p"))).select("doc_id", "class_id")
-    return found.unionByName(signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    best = common.checkpoint(labels.join(nodes.select("node", "at"), "node").groupBy("label").agg(F.min("at").alias("best")))
+    linked = common.checkpoint(labels.join(best, "label").select("node", "best"))
+    of_node = nodes.select("node", "print", "at").join(linked, "node", "left").select(F.col("node").alias("n"), F.col("print").alias("p"), F.coalesce("best", "at").alias("best"))
+    found = worded.select("doc_id", "h", "node", "print").join(common.checkpoint(of_node), (F.col("node") == F.col("n")) & (F.col("print") == F.col("p")))
+    return found.select("doc_id", "h", "best").unionByName(signed.where("node is null").select("doc_id", "h", F.lit(None).cast(found.schema["best"].dataType).alias("best")))
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and class_id, the least doc_id of the class, of each row.
+
+    A text that is null or has no word is like no other, and its class is its own id. Repeated rows are one class. Rows
+    with a null id take part; a class of nothing else has a null class_id. Where an id stands at several texts, each text
+    has its own class, so an id can have several rows with different classes.
+    """
+    found = _classified(docs, threshold, id_col, text_col)
+    return found.select("doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.id")).alias("class_id"))
 
 
 def representatives(docs: DataFrame, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of `docs`, that with the class's id, columns as they are.
+    """One row of each class of `docs`, columns as they are: that with the least id, nulls last, then the least hash of its text.
 
-    Rows without a word and rows with a null id stay, as do all of a class without an id; of repeated rows with the
-    class's id one stays.
+    Rows are told apart by id and text, so a text whose id stands at another class's text too stays. Of several rows
+    with that id and that text the one with the least hash of its columns stays. Rows without a word stay, all of them.
     """
-    found = classes(docs, threshold, id_col, text_col)
-    gone = found.where("doc_id is not null and class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
-    again = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    found = common.checkpoint(_classified(docs, threshold, id_col, text_col))
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    worded = found.where("best is not null")
+    gone = worded.where(~chosen).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    row_id, row_h = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    kept = docs.join(gone, row_id.eqNullSafe(F.col("__id")) & (row_h == F.col("__h")), "left_anti")
+    again = common.checkpoint(worded.where(chosen).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).count().where("count > 1").drop("count"))
     if again.isEmpty():
         return kept
-    marked = kept.join(again, F.col(f"`{id_col}`").cast("long") == F.col("__again"), "left")
-    w = Window.partitionBy("__again").orderBy(F.xxhash64(F.col(text_col)))
-    several = marked.where("__again is not null").withColumn("__nth", F.row_number().over(w)).where("__nth = 1")
-    return marked.where("__again is null").select(*docs.columns).unionByName(several.select(*docs.columns))
+    same = row_id.eqNullSafe(F.col("__id")) & (row_h == F.col("__h"))
+    several = kept.join(again, same).groupBy("__id", "__h")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = several.agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("__row")).select("__row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)
