@@ -1,20 +1,22 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-For each language a raw-content dictionary for zstandard is laid together from slices of labelled texts. Of a text, its
-letters count, in lower case, with single spaces for all else. It is cut into blocks, so that the dictionary counts in
-all of it and not only at its beginning; each block is compressed with each dictionary, and a text goes to the language
-with the least sum. Where that is narrow, as in a text of a few words, which zstandard stores as it is, the phrases
-decide into which the text's distinct words fall when each phrase is the longest that the dictionary holds. Where the
-second language needs no more phrases either, the text is rejected.
+For each language a raw-content dictionary for zstandard is laid together from whole labelled texts. Of a text, its
+letters and their marks count, in lower case, with single spaces for all else. It is cut into blocks, so that the
+dictionary counts in all of it and not only at its beginning; each block is compressed with each dictionary, and a text
+goes to the language with the least sum. Where the second language needs little more, the text is rejected.
+
+zstandard stores a text of a few words as it is, whatever the dictionary. So a short text with a narrow margin is measured
+once more, by the bytes that it adds to each of some carriers, strings that no language favours, at the highest level.
 """
 
 from __future__ import annotations
 
-import re
+import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,39 +24,25 @@ from pyspark.sql import functions as F
 from tallyweave.llm import common
 
 UNKNOWN = "und"
-#: The bounded sample that dictionaries are made from: documents for each language, and bytes taken from each.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 512
-#: More languages are refused: the dictionaries are sent to every executor.
-MAX_LANGUAGES = 500
-BLOCK_BYTES = 2048
-LEVEL = 3
-#: Phrases decide where the best language saves less than this share of the second's size.
-NARROW = 0.002
-#: So many distinct words of such a text, which is short or says little again and again, are told apart by phrases.
-DECIDING_WORDS = 2000
-_OTHER = re.compile(r"[\W\d_]+")
+#: The bounded sample that dictionaries are made from: documents for each language, whole. Those of more bytes than
+#: LONG_BYTES are the last to be taken, so that a few of them don't fill the dictionary.
+SAMPLE_DOCS, LONG_BYTES = 200, 1 << 16
+#: Compressors that a worker holds at once; with more languages they are made anew for each slice of texts.
+HELD = 64
+BLOCK_BYTES, LEVEL = 2048, 3
+#: A text is rejected where the best language saves no more than this share of the second's size.
+NARROW = 0.02
+#: Texts of up to so many bytes are measured behind carriers where the margin is narrow; and what is narrow there.
+SHORT_BYTES, CARRIERS, CARRIER_WORDS, FINE_LEVEL, NARROW_BEHIND = 256, 16, 48, 19, 0.05
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> bytes:
     """The words of a text in lower case, one space around each; empty where it has no letter."""
-    words = _OTHER.sub(" ", text.lower()).strip() if text else ""
-    return f" {words} ".encode() if words else b""
-
-
-def phrases(text: bytes, dictionary: bytes) -> int:
-    """Longest stretches of the dictionary that the text falls into, from left to right; an unknown byte is one."""
-    n = at = 0
-    while at < len(text):
-        low, high = 1, 2
-        while at + high <= len(text) and text[at : at + high] in dictionary:
-            low, high = high, 2 * high
-        high = min(high, len(text) - at + 1)
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (mid, high) if text[at : at + mid] in dictionary else (low, mid)
-        at += low
-        n += 1
-    return n
+    if not text or not _LETTER.search(text):
+        return b""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -63,60 +51,96 @@ def fold(doc_id: Column, of: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, training: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for each language, from a slice of each of SAMPLE_DOCS documents in the order of a hash of their text.
+    """A dictionary for each language, from SAMPLE_DOCS whole documents in the order of a hash of their text.
 
-    A slice begins at a place that the hash says, so beginnings aren't favoured. At most SAMPLE_DOCS * SAMPLE_BYTES bytes
-    for each language reach the driver.
+    Spark keeps so many rows of a language in each task before it deals them by language. What reaches the driver is
+    SAMPLE_DOCS rows for each language.
     """
-    text, key = F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"), F.lit(5))
-    room = F.greatest(F.length(text) - SAMPLE_BYTES, F.lit(0)) + 1
-    rows = docs.where(training & F.col(lang_col).isNotNull() & text.isNotNull() & text.rlike(r"\p{L}"))
-    cut = rows.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.substring(text, (F.pmod(key, room) + 1).cast("int"), F.lit(SAMPLE_BYTES)).alias("slice"))
-    by_lang = Window.partitionBy("lang").orderBy("key", "slice")
-    few = cut.withColumn("nth", F.row_number().over(by_lang)).where(F.col("nth") <= SAMPLE_DOCS)
-    found: dict[str, list[tuple[int, str]]] = {}
-    for r in few.select("lang", "nth", "slice").toLocalIterator():
-        found.setdefault(r.lang, []).append((r.nth, r.slice))
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"there are over {MAX_LANGUAGES} languages")
-    return {lang: b"".join(letters(s) for _, s in sorted(slices)) for lang, slices in sorted(found.items())}
+    text, key = F.col(f"`{text_col}`").cast("string"), F.xxhash64(F.col(f"`{text_col}`").cast("string"), F.lit(5))
+    rows = docs.where(training & F.col(f"`{lang_col}`").isNotNull() & text.isNotNull() & text.rlike(r"\p{L}"))
+    rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), (F.octet_length(text) > LONG_BYTES).alias("long"), key.alias("key"), text.alias("text"))
+    by_lang = Window.partitionBy("lang").orderBy("long", "key", "text")
+    few = rows.withColumn("nth", F.row_number().over(by_lang)).where(F.col("nth") <= SAMPLE_DOCS)
+    found: dict[str, list[tuple[int, bytes]]] = {}
+    for r in few.select("lang", "nth", "text").toLocalIterator():
+        found.setdefault(r.lang, []).append((r.nth, letters(r.text)))
+    return {lang: b"".join(t for _, t in sorted(texts)) for lang, texts in sorted(found.items())}
+
+
+def carriers(dictionaries: dict[str, bytes]) -> list[bytes]:
+    """Strings of words of all languages in turn, each word backwards, so that they are long enough to be compressed and no
+    language has them."""
+    rng, words = random.Random(5), [w for d in dictionaries.values() if (w := d.split())]
+    if not words:
+        return []
+    pick = lambda k: rng.choice(words[k % len(words)]).decode()[::-1]
+    return [f" {' '.join(pick(k) for k in range(CARRIER_WORDS))} ".encode() for _ in range(CARRIERS)]
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages, self.dictionaries = list(dictionaries), list(dictionaries.values())
-        self.presses = []
-        for data in dictionaries.values():
-            raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self.presses.append(zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False))
-
-    def sizes(self, text: bytes) -> list[int]:
-        """Compressed bytes of the text with each language's dictionary."""
-        blocks = [text[i : i + BLOCK_BYTES] for i in range(0, len(text), BLOCK_BYTES)]
-        return [sum(len(press.compress(b)) for b in blocks) for press in self.presses]
-
-    def classify(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score from 0 to 1 and whether the margin is wide enough.
+        self.carriers = carriers(dictionaries)
+        self.presses: dict[tuple[int, int], zstandard.ZstdCompressor] = {}
+
+    def press(self, k: int, level: int) -> zstandard.ZstdCompressor:
+        if (k, level) not in self.presses:
+            if len(self.presses) >= HELD:
+                self.presses.clear()
+            raw = zstandard.ZstdCompressionDict(self.dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=level)
+            self.presses[k, level] = zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return self.presses[k, level]
+
+    def sizes(self, texts: list[bytes]) -> np.ndarray:
+        """Compressed bytes of each text, by row, with each language's dictionary."""
+        out = np.zeros((len(texts), len(self.languages)))
+        for k in range(len(self.languages)):
+            compress = self.press(k, LEVEL).compress
+            out[:, k] = [sum(len(compress(t[i : i + BLOCK_BYTES])) for i in range(0, len(t), BLOCK_BYTES)) for t in texts]
+        return out
+
+    def sizes_behind(self, texts: list[bytes]) -> np.ndarray:
+        """Bytes that each text adds to a carrier, in the mean."""
+        out = np.zeros((len(texts), len(self.languages)))
+        for k in range(len(self.languages)):
+            compress = self.press(k, FINE_LEVEL).compress
+            alone = sum(len(compress(c)) for c in self.carriers)
+            out[:, k] = [(sum(len(compress(c + t[1:])) for c in self.carriers) - alone) / CARRIERS for t in texts]
+        return out
+
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Of each text language, score from 0 to 1 and whether the margin is wide enough.
 
         The score is the best language's share when languages weigh 2 to the bits they save; ties go to the first
-        language by name.
+        language by name. With one language there is no margin and nothing to reject; with none, a text with a letter
+        is `und` and not rejected, as nothing is known against it.
         """
-        plain = letters(text)
-        if not plain or not self.languages:
-            return UNKNOWN, 0.0, False
-        sizes = np.array(self.sizes(plain), np.float64)
-        order = sizes.argsort(kind="stable")
-        best, sure = int(order[0]), True
-        if len(sizes) > 1 and sizes[order[1]] - sizes[best] <= NARROW * sizes[order[1]]:
-            close = [int(k) for k in sorted(order) if sizes[k] - sizes[best] <= NARROW * sizes[k]]
-            words = b" " + b" ".join(list(dict.fromkeys(plain.split()))[:DECIDING_WORDS]) + b" "
-            counts = [phrases(words, self.dictionaries[k]) for k in close]
-            best = close[int(np.argmin(counts))]
-            sure = sorted(counts)[1] > min(counts)
-            sizes[close] = sizes[best] + np.array(counts) - min(counts)
-        bits = np.clip(8 * (sizes - sizes[best]), 0, 60)
-        return self.languages[best], float(1 / np.exp2(-bits).sum()), sure
+        plain = [letters(t) for t in texts]
+        out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, bool(p) and not self.languages) for p in plain]
+        own = [k for k, p in enumerate(plain) if p]
+        if not own or not self.languages:
+            return out
+        sizes = self.sizes([plain[k] for k in own])
+        sure = _margin(sizes) > NARROW
+        again = [i for i, k in enumerate(own) if not sure[i] and len(plain[k]) <= SHORT_BYTES]
+        if again:
+            sizes[again] = self.sizes_behind([plain[own[i]] for i in again])
+            sure[again] = _margin(sizes[again]) > NARROW_BEHIND
+        best = sizes.argmin(axis=1)
+        bits = np.clip(8 * (sizes - sizes.min(axis=1, keepdims=True)), 0, 60)
+        scores = 1 / np.exp2(-bits).sum(axis=1)
+        for i, k in enumerate(own):
+            out[k] = (self.languages[best[i]], float(scores[i]), bool(sure[i]))
+        return out
+
+
+def _margin(sizes: np.ndarray) -> np.ndarray:
+    """What the best language saves as a share of the second's size."""
+    if sizes.shape[1] < 2:
+        return np.ones(len(sizes))
+    two = np.sort(sizes, axis=1)[:, :2]
+    return (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-9)
 
 
 SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
@@ -127,13 +151,14 @@ def _texts(sent, made: dict, column: pa.Array) -> Iterator[tuple[int, list[tuple
         made["own"] = Classifier(sent.value)
     _, at = common.utf8(column)
     for low, high in common.slices(at):
-        yield low, [made["own"].classify(t) for t in column.slice(low, high - low).to_pylist()]
+        yield low, made["own"].classify(column.slice(low, high - low).to_pylist())
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and accepted of each row, without a shuffle.
 
-    A text that is null or has no letter is `und`, with score 0, and isn't accepted.
+    A text that is null or has no letter is `und`, with score 0, and isn't accepted. Ids may be null or repeated, and each
+    row gets its own result; equal texts get the same. A long text is compressed block by block.
     """
     sent, made = docs.sparkSession.sparkContext.broadcast(dictionaries), {}
 
@@ -147,7 +172,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
 
 
 def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose language is recognised, columns as they are."""
+    """The rows of `docs` whose language is recognised, columns as they are; without any dictionary, those with a letter."""
     sent, made, place = docs.sparkSession.sparkContext.broadcast(dictionaries), {}, docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tallyweave.llm import decontam, langid, outliers, quality, queries, secrets, sstable, tokencount
+from tallyweave.llm import decontam, outliers, quality, queries, secrets, sstable, tokencount
 
 ODD = [None, "", " ", "  ", "\n\n x", "a  b", "▁x ▁▁", "é́ ñ", "tab\t x ", "<s>x</s> <|endoftext|> y", "漢字🙂 ok", "a\x00b", "don't 's", "x" * 3000]
 
@@ -199,7 +199,7 @@ def test_chi_square_quantile():
     assert outliers.CONSISTENCY > 1
 
 
-# Language and quality.
+# Quality.
 
 TONGUES = {"xa": "abcdelmn", "yb": "opqrstuv", "zc": "aeiouxyz"}
 WORDS = {lang: ["".join(random.Random(f"{lang}{k}").choice(letters) for _ in range(2 + k % 6)) for k in range(90)] for lang, letters in TONGUES.items()}
@@ -209,33 +209,6 @@ def spoken(lang, n):
     return " ".join(random.choice(WORDS[lang]) for _ in range(n))
 
 
-def test_language_by_compression(spark):
-    random.seed(12)
-    rows = [(k, spoken(lang, random.choice([4, 30, 600])), lang) for k in range(240) for lang in [random.choice(list(TONGUES))]]
-    rows += [(900, None, "xa"), (901, "", "xa"), (902, " 12 !? ", "yb"), (None, spoken("xa", 30), None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score")
-    got = {r.doc_id: r for r in langid.languages_of(df).collect()}
-    truth = {i: lang for i, _, lang in rows}
-    assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"} and not got[902].accepted
-    assert got[None].lang_pred == "xa" and not got[None].held_out
-    tested = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert all(got[i].held_out for i in tested) and sum(got[i].held_out for i in range(240)) == len(tested)
-    assert sum(got[i].lang_pred == truth[i] for i in tested) >= 0.95 * len(tested)
-    assert all(0 <= r.score <= 1 for r in got.values())
-    kept = langid.accepted_rows(df, langid.labelled_sample(df, df.doc_id.isNotNull()))
-    assert kept.columns == df.columns and kept.count() >= 235
-
-
-def test_language_without_labels(spark):
-    df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
-    assert [r.lang_pred for r in langid.languages_of(df).collect()] == ["und"]
-
-
-def test_phrases_are_the_longest_known():
-    assert langid.phrases(b"abcabd", b"xxabcxxabd") == 2
-    assert langid.phrases(b"zz", b"abc") == 2 and langid.phrases(b"", b"abc") == 0
-
-
 def test_quality_separates_labels(spark):
     random.seed(13)
     good = [(k, spoken("xa", random.randint(5, 200)), 1) for k in range(300)]
@@ -250,6 +223,69 @@ def test_quality_separates_labels(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
 
 
+def plainly_trained(texts, labels):
+    """Scores by loops over features, in double precision, from the same first vectors and order of rows."""
+    rng = np.random.default_rng(quality.SEED)
+    bags = []
+    for t in texts:
+        found = Counter(int(b) for kind, _ in quality.features([t])[1] for b in kind)
+        bags.append({b: n / sum(found.values()) for b, n in found.items()})
+    first = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    vector = {b: [float(x) for x in first[b]] for own in bags for b in own}
+    dims, layer, bias = range(quality.DIM), [[0.0, 0.0] for _ in range(quality.DIM)], [0.0, 0.0]
+    forward = lambda own: [sum(share * vector[b][d] for b, share in own.items()) for d in dims]
+    softmax = lambda z: [np.exp(x - max(z)) / sum(np.exp(y - max(z)) for y in z) for x in z]
+    answer = lambda h: softmax([sum(h[d] * layer[d][c] for d in dims) + bias[c] for c in (0, 1)])
+    step = 0
+    for _ in range(quality.EPOCHS):
+        for k in rng.permutation(len(bags)):
+            rate = quality.RATE * (1 - step / (quality.EPOCHS * len(bags)))
+            step += 1
+            own, h = bags[k], forward(bags[k])
+            off = [p - (c == labels[k]) for c, p in enumerate(answer(h))]
+            back = [sum(layer[d][c] * off[c] for c in (0, 1)) for d in dims]
+            for c in (0, 1):
+                bias[c] -= 0.1 * rate * off[c]
+                for d in dims:
+                    layer[d][c] -= rate * h[d] * off[c]
+            for b, share in own.items():
+                for d in dims:
+                    vector[b][d] -= rate * min(share * len(own), 4) * back[d]
+    return [answer(forward(own))[1] for own in bags]
+
+
+def test_training_equals_plain_loops():
+    random.seed(17)
+    texts = [spoken(random.choice(list(TONGUES)), random.randint(1, 6)) + random.choice(["", " ###"]) for _ in range(24)]
+    labels = [int("#" not in t) for t in texts]
+    assert quality.train(texts, labels).scores(texts) == pytest.approx(plainly_trained(texts, labels), abs=2e-3)
+
+
+def test_quality_without_rows_or_with_one_label(spark):
+    docs = spark.createDataFrame([(1, "some words here"), (2, "more"), (2, "more"), (None, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert [r.score for r in quality.quality_of(docs, none).collect()] == [0.5] * 4
+    one = quality.quality_of(docs, spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")).collect()
+    assert all(r.score > 0.5 for r in one) and len(one) == 4
+    assert quality.quality_of(docs.limit(0), none).collect() == []
+
+
+def test_repeated_ids_are_learned_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (5, 0)], "doc_id long, quality int")
+    texts, marks = quality.labelled_sample(docs, labels, quality.F.lit(True))
+    assert len(texts) == 2 and texts[0] in ("a", "b") and texts[1] == "" and marks == [1, 0]
+
+
+def test_very_long_text_is_scored_whole():
+    random.seed(18)
+    good, bad = [spoken("xa", 40) for _ in range(60)], [spoken("xa", 40).replace(" ", " ### ") for _ in range(60)]
+    model = quality.train(good + bad, [1] * 60 + [0] * 60)
+    clean, dirty = spoken("xa", 400_000), spoken("xa", 200_000) + spoken("xa", 200_000).replace(" ", " ### ")
+    one, two = model.scores([clean, dirty])
+    assert one > two
+
+
 def test_features_do_not_span_texts():
     for texts in (["ab cd", "cd ef"], ["", "x", "", "x y z x y z"]):
         border, kinds = quality.features(texts)
