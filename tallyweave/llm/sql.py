@@ -30,11 +30,16 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
  FROM p LEFT JOIN g USING (h)"""
 
 
+#: The base patterns as the contract has them.
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ACCESS, _HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
+
+
 def _found(text: str, pattern: str, kind: int, keep: str = "true") -> str:
     """Spans {{s, k, e}} of all matches; `keep` says of match m with value v which stay."""
     quoted = pattern.replace("'", "''")
     before = f"coalesce(list_sum(list_transform(string_split_regex({text}, '{quoted}')[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(regexp_extract_all({text}, '{quoted}')[1:i - 1], lambda x: length(x))), 0)"
-    value = f"regexp_extract_all({text}, '{quoted}', 2)[i]" if pattern == secrets.ASSIGN else f"regexp_extract_all({text}, '{quoted}')[i]"
+    value = f"regexp_extract_all({text}, '{quoted}', 2)[i]" if pattern == _ASSIGN else f"regexp_extract_all({text}, '{quoted}')[i]"
     size = f"length(regexp_extract_all({text}, '{quoted}')[i])"
     every = f"list_transform(range(1, len(regexp_extract_all({text}, '{quoted}')) + 1), lambda i: {{'s': ({before})::BIGINT, 'k': {kind}, 'e': ({before} + {size})::BIGINT, 'v': {value}}})"
     kept = f"list_filter({every}, lambda z: {keep})"
@@ -55,9 +60,9 @@ def _listed(spans: str) -> str:
 
 
 SECRETS = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
- a AS (SELECT doc_id, t, {_found("t", secrets.ASSIGN, 0, f"length(z.v) >= {secrets.LEAST_VALUE}")} AS assign,
-  {_found("t", secrets.ASSIGN, 4, f"length(z.v) >= {secrets.LEAST_WEAK_VALUE} AND length(z.v) < {secrets.LEAST_VALUE}")} AS short,
-  {_found("t", secrets.ACCESS, 1)} AS access, {_found("t", secrets.HEX, 2)} AS hex,
+ a AS (SELECT doc_id, t, {_found("t", _ASSIGN, 0, "length(z.v) >= 12")} AS assign,
+  {_found("t", _ASSIGN, 4, f"length(z.v) >= {secrets.LEAST_WEAK_VALUE} AND length(z.v) < 12")} AS short,
+  {_found("t", _ACCESS, 1, "length(z.v) >= 18")} AS access, {_found("t", _HEX, 2, "length(z.v) >= 16")} AS hex,
   {_found("t", secrets.WEAK_SECRET, 4, "regexp_matches(z.v, '[0-9]') AND regexp_matches(z.v, '[A-Za-z]') AND NOT regexp_full_match(z.v, '[0-9a-f]+')")} AS rnd,
   {_found("t", secrets.WEAK_ID, 3)} AS ids, {_found("t", secrets.ENDPOINT, 5)} AS endpoint FROM t),
  b AS (SELECT *, list_concat(assign, access, hex) AS base FROM a),
