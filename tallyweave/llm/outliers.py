@@ -1,10 +1,13 @@
 """Quality rules in expressions alone: counts of words, symbols and repeats, and robust multivariate outliers.
 
 Each document that passes the base rules has a vector of transformed statistics. Per language and source, the minimum
-covariance determinant estimate is found by concentration steps: from medians and median deviations, keep the share H of
-documents that lie nearest, take their mean and covariance, and again. Distances fall into bins of their logarithm, and
-a step sums moments by group and bin, so it reads the vectors once and no task holds a group. A document whose
-Mahalanobis distance is beyond the chi-square quantile is rejected.
+covariance determinant estimate is sought by concentration steps: keep the share H of documents that lie nearest, take
+their mean and covariance, and again until nothing changes. The steps set out from three estimates that need no chance:
+medians and quartiles, the plain mean and covariance, and medians with the correlations of vectors drawn in by a
+hyperbolic tangent. Of the three ends, that with the least determinant holds. Distances fall into fine bins of their
+logarithm, and the bin in which the share ends counts in part; so a step sums moments by group, start and bin, reads the
+vectors once, gives the same in any order of rows, and no task holds a group. A document whose Mahalanobis distance is
+beyond the chi-square quantile is rejected.
 """
 
 from __future__ import annotations
@@ -18,15 +21,20 @@ from tallyweave.llm import common
 
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
 D = len(FEATURES)
-#: Share of a group that determines the estimate, steps, bins for each factor e of the squared distance.
-H, STEPS, BINS = 0.75, 4, 20
-#: A smaller group takes the estimate of its language, a smaller language that of all documents.
-LEAST_GROUP = 100
+#: Share of a group that determines the estimate, and bins for each factor e of the squared distance.
+H, BINS = 0.75, 64
+#: Steps end once no group's log determinant changes by more, or after so many, which none of our data came near.
+SETTLED, MOST_STEPS = 1e-9, 100
+#: The estimate is defined for groups of more than 5 documents a dimension, as the literature asks for; a smaller group
+#: takes the estimate of its language, a smaller language that of all documents.
+LEAST_GROUP = 5 * D
 #: Probability that a normal vector lies beyond the cut.
 TAIL = 1e-6
-#: The least standard deviation of each feature: differences below it mean nothing, and a feature that most documents
-#: have at zero would else make the covariance singular.
+#: The least standard deviation of each feature given those before it. Most documents have no symbols and no repeats, so the
+#: nearest share often lies in a plane and its covariance is singular; there, and only there, this stands for the width.
 FLOOR = (0.05, 0.06, 0.06, 0.10)
+#: Medians are found to this part of the floor.
+FINE = 16
 #: One repeated line is found in clean text, and in a text of a few lines it is a large share: it isn't counted, and the
 #: others are a share of the lines and so many more.
 ONE_LINE, MORE_LINES = 1, 20
@@ -155,10 +163,10 @@ def _distance(center: list[Column], lower: list[list[Column]]) -> Column:
     return y
 
 
-def distances(rows: DataFrame, estimate: DataFrame, bounded: bool) -> DataFrame:
-    """`d2` beside each row of its scope."""
+def distances(rows: DataFrame, estimate: DataFrame, bounded: bool, *more: str) -> DataFrame:
+    """`d2` and the columns `more` of the estimate beside each row of its scope."""
     out = rows.join(_small(estimate, bounded), "scope")
-    keep = rows.columns
+    keep = [*rows.columns, *more]
     center = [F.col(f"m{i}") for i in range(D)]
     lower = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(D)]
     y = _distance(center, lower)
@@ -167,52 +175,90 @@ def distances(rows: DataFrame, estimate: DataFrame, bounded: bool) -> DataFrame:
     return out.select(*keep, sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, D)), F.col("y0") * F.col("y0")).alias("d2"))
 
 
-def _start(rows: DataFrame, bounded: bool) -> DataFrame:
-    """Medians and median deviations as a first estimate."""
-    medians = rows.groupBy("scope").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)))
-    off = rows.join(_small(medians, bounded), "scope")
-    wide = off.groupBy("scope", *(f"m{i}" for i in range(D))).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"w{i}") for i, f in enumerate(FEATURES)))
-    lower = [(F.greatest(1.4826 * F.col(f"w{i}"), F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)]
-    return wide.select("scope", *(f"m{i}" for i in range(D)), *lower)
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+_MEAN, _LOWER = [f"m{i}" for i in range(D)], [f"l{i}{j}" for i, j in PAIRS]
 
 
-def _step(rows: DataFrame, estimate: DataFrame, bounded: bool) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest share H, as a mean and a Cholesky factor."""
-    near = distances(rows, estimate, bounded)
-    far = F.greatest(F.lit(-40 * BINS), F.least(F.lit(40 * BINS), F.ceil(BINS * F.log(F.greatest(F.col("d2"), F.lit(1e-18)))))).cast("int")
-    pairs = [(i, j) for i in range(D) for j in range(i + 1)]
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in pairs]
-    binned = near.groupBy("scope", far.alias("bin")).agg(F.count("*").alias("n"), *sums)
-    w = Window.partitionBy("scope")
-    before = F.sum("n").over(w.orderBy("bin")) - F.col("n")
-    nearest = binned.withColumn("before", before).withColumn("all", F.sum("n").over(w)).where(F.col("before") < F.ceil(H * F.col("all")))
-    moments = nearest.groupBy("scope").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [f"s{i}" for i in range(D)] + [f"p{i}{j}" for i, j in pairs]))
-    n = F.col("n")
-    out = moments.select("scope", *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(D)), *((CONSISTENCY * (F.col(f"p{i}{j}") / n - F.col(f"s{i}") / n * F.col(f"s{j}") / n)).alias(f"c{i}{j}") for i, j in pairs))
-    # the floor goes on the diagonal, so the factor exists
-    for i, j in pairs:
-        own = F.col(f"c{i}{j}") + (FLOOR[i] ** 2 if i == j else 0.0)
+def _factored(rows: DataFrame) -> DataFrame:
+    """The Cholesky factor l00.. of the covariances c00.., and `width`, the logarithm of the root of the determinant.
+
+    A pivot below the floor is set to it; any other stays as it is.
+    """
+    for i, j in PAIRS:
+        own = F.col(f"c{i}{j}")
         for k in range(j):
             own = own - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(own, F.lit(FLOOR[i] ** 2 / 4))) if i == j else own / F.col(f"l{j}{j}"))
-    return out.select("scope", *(f"m{i}" for i in range(D)), *(f"l{i}{j}" for i, j in pairs))
+        rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(own, F.lit(FLOOR[i] ** 2))) if i == j else own / F.col(f"l{j}{j}"))
+    return rows.withColumn("width", sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00")))
+
+
+def _covariance(c: dict[tuple[int, int], Column]) -> list[Column]:
+    return [c[p].alias(f"c{p[0]}{p[1]}") for p in PAIRS]
 
 
-def estimates(rows: DataFrame, bounded: bool, steps: int = STEPS) -> DataFrame:
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """scope, m0.. (medians) and s0.. (quartile widths as standard deviations, FLOOR at least), from counts by bin."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.floor(F.col(f) * (FINE / FLOOR[i])).alias("bin")) for i, f in enumerate(FEATURES))))
+    counts = rows.select("scope", each.alias("x")).groupBy("scope", "x.feature", "x.bin").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("scope", "feature")
+    placed = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    at = lambda share: F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))) + 0.5
+    found = placed.groupBy("scope", "feature").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    pick = lambda i, c: F.max(F.when(F.col("feature") == i, c)) * (FLOOR[i] / FINE)
+    wide = lambda i: F.greatest(pick(i, F.col("high") - F.col("low")) / 1.349, F.lit(FLOOR[i]))
+    return found.groupBy("scope").agg(*(pick(i, F.col("mid")).alias(f"m{i}") for i in range(D)), *(wide(i).alias(f"s{i}") for i in range(D)))
+
+
+def _starts(rows: DataFrame, bounded: bool) -> DataFrame:
+    """Three estimates of each scope, numbered by `start`."""
+    middle = common.checkpoint(_quartiles(rows))
+    by_quartiles = middle.select("scope", F.lit(0).alias("start"), *_MEAN, *_covariance({(i, j): F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i, j in PAIRS}))
+    plain = rows.groupBy("scope").agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)), *_covariance({(i, j): F.covar_pop(FEATURES[i], FEATURES[j]) for i, j in PAIRS}))
+    drawn = rows.join(_small(middle, bounded), "scope").withColumns({f"t{i}": F.tanh((F.col(f) - F.col(f"m{i}")) / F.col(f"s{i}")) for i, f in enumerate(FEATURES)})
+    related = drawn.groupBy("scope", *_MEAN, *(f"s{i}" for i in range(D))).agg(*_covariance({(i, j): F.covar_pop(f"t{i}", f"t{j}") for i, j in PAIRS}))
+    deviation = lambda i: F.sqrt(F.greatest(F.col(f"c{i}{i}"), F.lit(1e-12)))
+    by_tangent = related.select("scope", F.lit(2).alias("start"), *_MEAN, *_covariance({(i, j): F.col(f"s{i}") * F.col(f"s{j}") * (F.lit(1.0) if i == j else F.col(f"c{i}{j}") / (deviation(i) * deviation(j))) for i, j in PAIRS}))
+    every = by_quartiles.unionByName(plain.withColumn("start", F.lit(1))).unionByName(by_tangent)
+    return common.checkpoint(_factored(every).select("scope", "start", *_MEAN, *_LOWER, "width"))
+
+
+def _step(rows: DataFrame, estimate: DataFrame, bounded: bool) -> DataFrame:
+    """One concentration step from each start: mean and factor of the nearest share H, and `before`, the width until now."""
+    near = distances(rows, estimate, bounded, "start", "width")
+    far = F.greatest(F.lit(-40 * BINS), F.least(F.lit(40 * BINS), F.ceil(BINS * F.log(F.greatest(F.col("d2"), F.lit(1e-18)))))).cast("int")
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in PAIRS]
+    group = ("scope", "start", "width")
+    binned = near.groupBy(*group, far.alias("bin")).agg(F.count("*").alias("n"), *sums)
+    w = Window.partitionBy("scope", "start")
+    wanted = F.ceil(H * F.sum("n").over(w)) - F.sum("n").over(w.orderBy("bin")) + F.col("n")
+    share = F.least(F.lit(1.0), wanted / F.col("n"))
+    nearest = binned.withColumn("share", share).where("share > 0")
+    moments = nearest.groupBy(*group).agg(F.sum(F.col("share") * F.col("n")).alias("n"), *(F.sum(F.col("share") * F.col(c)).alias(c) for c in [f"s{i}" for i in range(D)] + [f"p{i}{j}" for i, j in PAIRS]))
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(D)]
+    spread = {(i, j): CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in PAIRS}
+    out = moments.select("scope", "start", F.col("width").alias("before"), *(m.alias(f"m{i}") for i, m in enumerate(mean)), *_covariance(spread))
+    return _factored(out).select("scope", "start", *_MEAN, *_LOWER, "width", "before")
+
+
+def estimates(rows: DataFrame, bounded: bool) -> DataFrame:
     """The estimate of each scope in use: mean m0.. and Cholesky factor l00.. of the covariance."""
     wanted = rows.select("scope").distinct()
-    informing = _whole(rows.drop("scope")).join(_small(wanted, bounded), "scope", "left_semi")
-    estimate = _start(informing, bounded)
-    for _ in range(steps):
-        estimate = _step(informing, estimate, bounded)
-    return estimate
+    informing = common.checkpoint(_whole(rows.drop("scope")).join(_small(wanted, bounded), "scope", "left_semi"))
+    estimate = _starts(informing, bounded)
+    for _ in range(MOST_STEPS):
+        estimate = common.checkpoint(_step(informing, estimate.drop("before"), bounded))
+        if not estimate.where(F.abs(F.col("width") - F.col("before")) > SETTLED).limit(1).count():
+            break
+    best = estimate.groupBy("scope").agg(F.min(F.struct("width", "start", *_MEAN, *_LOWER)).alias("best"))
+    return best.select("scope", *(f"best.{c}" for c in _MEAN + _LOWER))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and d2 of each row.
 
     A null text has no words and so fails the base rules. Null languages and sources are groups of their own. Repeated
-    rows count as often as they stand there. d2 is null where the base rules fail.
+    rows count as often as they stand there, and each gets its own result. An empty table gives an empty result. A text
+    is taken whole; its words and windows meet in its own row. d2 is null where the base rules fail.
     """
     rows = common.checkpoint(vectors(statistics(docs, id_col, text_col, lang_col, source_col)))
     within, bounded = scoped(rows)
