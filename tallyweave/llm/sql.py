@@ -30,9 +30,9 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
  FROM p LEFT JOIN g USING (h)"""
 
 
-#: The base patterns as the contract has them.
+#: The base patterns, with the least lengths of a run as its repetitions.
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-_ACCESS, _HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
+_ACCESS, _HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 
 
 def _found(text: str, pattern: str, kind: int, keep: str = "true") -> str:
@@ -62,7 +62,7 @@ def _listed(spans: str) -> str:
 SECRETS = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
  a AS (SELECT doc_id, t, {_found("t", _ASSIGN, 0, "length(z.v) >= 12")} AS assign,
   {_found("t", _ASSIGN, 4, f"length(z.v) >= {secrets.LEAST_WEAK_VALUE} AND length(z.v) < 12")} AS short,
-  {_found("t", _ACCESS, 1, "length(z.v) >= 18")} AS access, {_found("t", _HEX, 2, "length(z.v) >= 16")} AS hex,
+  {_found("t", _ACCESS, 1)} AS access, {_found("t", _HEX, 2)} AS hex,
   {_found("t", secrets.WEAK_SECRET, 4, "regexp_matches(z.v, '[0-9]') AND regexp_matches(z.v, '[A-Za-z]') AND NOT regexp_full_match(z.v, '[0-9a-f]+')")} AS rnd,
   {_found("t", secrets.WEAK_ID, 3)} AS ids, {_found("t", secrets.ENDPOINT, 5)} AS endpoint FROM t),
  b AS (SELECT *, list_concat(assign, access, hex) AS base FROM a),

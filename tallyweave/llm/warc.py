@@ -3,10 +3,15 @@
 Each record is a gzip member of its own, so a reader can begin at any of them. A task of the reader has a range of bytes
 of one file: it looks for the magic bytes of gzip, takes a place as the start of a member only if what decodes there
 begins as a WARC header, and owns the records that start inside its range, reading the last one past the range's end.
+
+The reader takes archives of other writers too: records of any type, digests of any algorithm (SHA-1, SHA-256 and MD5 in
+base 32 or hexadecimal are verified, others aren't), record ids of any form. One record is held in memory at a time.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import zlib
@@ -20,8 +25,10 @@ from tallyweave.llm import common
 
 #: Equal payloads of at least so many bytes are written once.
 LEAST_REVISIT = 100
-#: Bytes of an archive that a task of the reader owns.
-RANGE_BYTES = 16 << 20
+#: Repeated payloads up to so many are marked by a broadcast of their digests, more by a shuffle of the pages.
+BROADCAST_DIGESTS = 200_000
+#: Bytes of an archive that a range of the reader has, and the most tasks that ranges are dealt to.
+RANGE_BYTES, MOST_TASKS = 16 << 20, 100_000
 GZIP_MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records are made without a clock, so that a task run again writes the same bytes.
@@ -37,9 +44,10 @@ def _urn(page_id: int | None) -> str:
     return "urn:page:" + ("" if page_id is None else str(page_id))
 
 
-def _page_of(urn: str) -> int | None:
-    number = urn.strip("<> ").removeprefix("urn:page:")
-    return int(number) if number else None
+def _page_of(urn: str | None) -> int | None:
+    """The page of a record id that this module has made; None for one of any other form."""
+    found = re.fullmatch(r"<?urn:page:(-?\d+)>?", (urn or "").strip())
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -70,15 +78,17 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     Of rows with equal payloads of LEAST_REVISIT bytes or more, those with the smallest id are responses and the others
     revisit it; smaller payloads are all responses. A null html is empty; a null id is larger than any other, and a
-    payload with null ids alone is written as responses. Groups are counted before the join, and only those with
-    several rows are joined to the pages, by digest.
+    payload with null ids alone is written as responses. Groups of several rows are found on digests alone, with sums
+    before the exchange; where they are counted to be few, their digests are broadcast and no page leaves its task.
     """
     spark = pages.sparkSession
     common.make_folder(folder)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     digest = F.sha2(F.col("html").cast("binary"), 256)
     groups = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy(digest.alias("known")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    joined = rows.withColumn("digest", digest).join(groups.where("n > 1 and first is not null"), F.col("digest") == F.col("known"), "left")
+    several = common.checkpoint(groups.where("n > 1 and first is not null").drop("n"))
+    few = several.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    joined = rows.withColumn("digest", digest).join(F.broadcast(several) if few else several, F.col("digest") == F.col("known"), "left")
     dealt = joined.select("page_id", "url", "html", "digest", "first")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,49 +181,78 @@ def split_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+def _verified(digest: str | None, payload: bytes) -> bool:
+    """Whether a labelled digest is that of the payload; one of an unknown algorithm or form says nothing against it."""
+    name, _, value = (digest or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "md5"):
+        return True
+    made = hashlib.new(name, payload, usedforsecurity=False).digest()
+    value = value.strip()
+    try:
+        known = bytes.fromhex(value) if len(value) == 2 * len(made) else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except (ValueError, binascii.Error):
+        return True
+    return len(known) != len(made) or known == made
+
+
+def _row(headers: dict[str, str], block: bytes) -> tuple[tuple, bytes | None]:
+    """The columns of a record, and its payload, which is the block without its HTTP header where it has one."""
+    kind = headers.get("warc-type", "")
+    http, empty, rest = block.partition(b"\r\n\r\n")
+    has_http = bool(empty) and headers.get("content-type", "").lower().startswith("application/http")
+    digest = headers.get("warc-payload-digest")
+    if kind == "revisit":
+        size = re.search(rb"(?im)^content-length:\s*(\d+)", http) if has_http else None
+        own = re.fullmatch("sha-?256:([0-9a-fA-F]{64})", (digest or "").strip())
+        length, known, payload = int(size[1]) if size else None, own[1].lower() if own else None, None
+    else:
+        payload = rest if has_http else block
+        if not _verified(digest, payload):
+            raise ValueError(f"the payload of {headers.get('warc-record-id')} isn't that of its digest")
+        length, known = len(payload), hashlib.sha256(payload).hexdigest()
+    name, refers = headers.get("warc-record-id"), headers.get("warc-refers-to")
+    return (_page_of(name), headers.get("warc-target-uri"), length, known, kind, _page_of(refers), name, refers), payload
+
+
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
 
 
 def read(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES, with_payload: bool = False) -> DataFrame:
-    """A row for each record of the archives (path, size), a task for each range of bytes.
+    """A row for each record of the archives (path, size). Ranges of bytes are rows, dealt evenly to tasks.
 
-    The length and the digest of a response are those of what was read, which must agree with its header; those of a
-    revisit are in its headers. with_payload adds the payload, null for a revisit.
+    The length and the SHA-256 of a payload are those of what was read, which must agree with its header; those of a
+    revisit are what its headers say, null where they don't. page_id and refers_to are null for record ids of other
+    forms, which record_id and refers_to_id have. with_payload adds the payload, null for a revisit.
     """
-    ranges = [(path, low, min(size, low + range_bytes)) for path, size in files for low in range(0, size, range_bytes)]
     schema = READ + (", payload binary" if with_payload else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
+    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 2, pa.int64(), *[pa.string()] * 2, pa.binary()][: len(names)]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for k in batch.column(0).to_pylist():
+            for path, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
-                for headers, block in RangeReader(*ranges[k]):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    revisit = headers["warc-type"] == "revisit"
-                    digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                    if revisit:
-                        length = int(re.search(rb"(?i)^content-length:\s*(\d+)", http, re.M)[1])
-                    else:
-                        length, own = len(payload), hashlib.sha256(payload).hexdigest()
-                        if own != digest:
-                            raise ValueError(f"the payload of {headers['warc-record-id']} isn't that of its digest")
-                    row = (_page_of(headers["warc-record-id"]), headers.get("warc-target-uri"), length, digest, headers["warc-type"], _page_of(headers["warc-refers-to"]) if revisit else None)
-                    rows.append((*row, None if revisit else payload) if with_payload else row)
-                    held += len(payload) if with_payload else 0
+                for headers, block in RangeReader(path, begin, end):
+                    row, payload = _row(headers, block)
+                    rows.append((*row, payload) if with_payload else row)
+                    held += len(payload or b"") if with_payload else 0
                     if len(rows) >= 10_000 or held > 4 << 20:
                         yield batch_of(rows)
                         rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
 
-    if not ranges:
+    if not files:
         return spark.createDataFrame([], schema)
-    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(records, schema)
+    whole = spark.createDataFrame([(path, size) for path, size in files if size], "path string, size long")
+    ranges = whole.select("path", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(range_bytes))).alias("low"), "size")
+    ranges = ranges.select("path", "low", F.least("size", F.col("low") + range_bytes).alias("high"))
+    n = sum(-(-size // range_bytes) for _, size in files)
+    return ranges.repartition(max(1, min(n, MOST_TASKS))).mapInArrow(records, schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:
