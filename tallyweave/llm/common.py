@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,16 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a temporary one serves a
+    session without other machines; on a cluster it is an error, as executors don't see the driver's folders."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return os.path.dirname(known.rstrip("/"))
+    if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     own = "file://" + tempfile.mkdtemp(prefix="tallyweave-")
     spark.conf.set("spark.checkpoint.dir", own) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     spark.sparkContext.setCheckpointDir(own)
@@ -55,6 +60,42 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by this Python worker until another operator asks for something else.
+
+    So a worker that serves many tasks makes dictionaries and vocabularies once, and holds those of one operator alone.
+    """
+    if _held.get("key") != key:
+        _held.clear()
+        release()
+        _held["value"], _held["key"] = make(), key
+    return _held["value"]
+
+
+def release() -> None:
+    """Give freed memory back to the system, which a worker would else keep between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work on batches, after which the worker gives its freed memory back."""
+
+    @functools.wraps(work)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release()
+
+    return wrapped
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -111,7 +111,7 @@ def test_a_large_benchmark_is_scanned_in_parts(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven")], "item_id long, text string")
     df = spark.createDataFrame([(1, "x one two three four five six"), (2, "seven"), (3, None)], "doc_id long, text string")
     whole = {r.doc_id: r for r in decontam.scan(df, bench, spans=True).collect()}
-    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 15)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     parts = {r.doc_id: r for r in decontam.scan(df, bench, spans=True).collect()}
     assert {k: r[:6] for k, r in whole.items()} == {k: r[:6] for k, r in parts.items()}
     assert whole[1].n_hit == 6 and whole[1]["items"] == ["1", "2"]
@@ -119,6 +119,37 @@ def test_a_large_benchmark_is_scanned_in_parts(spark, monkeypatch):
     assert [r.doc_id for r in decontam.clean(df, bench).collect()] == [3]
 
 
+def test_large_benchmark_equals_the_broadcast_one(spark, monkeypatch):
+    """Bitmap and join against the broadcast windows and the plain version, with a bitmap so small that it lets much through."""
+    random.seed(19)
+    words = [f"w{k}" for k in range(12)]
+    make = lambda n: " ".join(random.choice(words) for _ in range(n))
+    items = [(k, make(random.choice([0, 1, 2, 3, 4, 5]))) for k in range(40)] + [(None, make(3)), (7, None)]
+    texts = [*ODD, *(make(random.randint(0, 80)) for _ in range(150)), "W1  w2, w3;W4 é w5"]
+    rows = [(k, t, 1) for k, t in enumerate(texts)] + [(None, texts[-1], 1), (3, texts[-2], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_hit int").selectExpr("*", "2 AS h", "3 AS rid", "4 AS `items`")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = [("" if i is None else str(i), t) for i, t in items if t is not None]
+    order = lambda found: sorted(map(str, found))
+    small = decontam.scan(df, bench, 4, spans=True).collect()
+    kept = decontam.clean(df, bench, 4).collect()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam, "LEAST_BITS", 16)
+    monkeypatch.setattr(decontam, "MOST_BITS", 16)
+    large = decontam.scan(df, bench, 4, spans=True).collect()
+    assert order(large) == order(small)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in large) == Counter((i, n, hit, tuple(found)) for i, t, _ in rows for n, hit, found in [brute.contamination(t, known, 4)])
+    assert order(decontam.clean(df, bench, 4).collect()) == order(kept) and decontam.clean(df, bench, 4).columns == df.columns
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    words = [f"w{k % 5000}x{k % 77}" for k in range(400_000)]
+    item = " ".join(words[300_000:300_012])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    [r] = decontam.scan(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), bench).collect()
+    assert r.n_words == 400_000 and r.n_items == 1 and r.n_hit == brute.contamination(" ".join(words), [("1", item)])[1]
+
+
 def test_empty_benchmark_and_documents(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
