@@ -219,7 +219,7 @@ def _shelf(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     named = wanted.select("node", F.col("at.id").alias("id"), F.col("at.h").alias("its"))
     few = named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(named) if few else named, _same_row("id", "its")).select("node", "text")
-    found = texts.dropDuplicates(["node"]).mapInArrow(_elements, ELEMENTS)
+    found = texts.dropDuplicates(["node"]).mapInArrow(common.released(_elements), ELEMENTS)
     return common.checkpoint(found.select("node", "elements", F.size("elements").alias("size")))
 
 
@@ -362,7 +362,7 @@ def near_labels(buckets: DataFrame, nodes: DataFrame, rows: DataFrame, threshold
 def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h (a hash of the text) and `best` of each row: the id and the h of its class's first row, null where the text has no word."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    signed = common.checkpoint(rows.mapInArrow(_signed, SIGNATURE))
+    signed = common.checkpoint(rows.mapInArrow(common.released(_signed), SIGNATURE))
     worded = signed.where("node is not null")
     # equal multisets: one node, with sums before the exchange, so a large group of copies is one row for each task
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")

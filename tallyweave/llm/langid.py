@@ -12,6 +12,7 @@ once more, by the bytes that it adds to each of some carriers, strings that no l
 from __future__ import annotations
 
 import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,12 +147,15 @@ def _margin(sizes: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 
 
-def _texts(sent, made: dict, column: pa.Array) -> Iterator[tuple[int, list[tuple[str, float, bool]]]]:
-    if "own" not in made:
-        made["own"] = Classifier(sent.value)
+def _texts(sent, key: str, column: pa.Array) -> Iterator[tuple[int, list[tuple[str, float, bool]]]]:
+    own = common.held(key, lambda: Classifier(sent.value))
     _, at = common.utf8(column)
     for low, high in common.slices(at):
-        yield low, made["own"].classify(column.slice(low, high - low).to_pylist())
+        yield low, own.classify(column.slice(low, high - low).to_pylist())
+
+
+def _key(dictionaries: dict[str, bytes]) -> str:
+    return f"langid {zlib.crc32(repr(list(dictionaries)).encode())} {[zlib.crc32(d) for d in dictionaries.values()]}"
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,29 +164,29 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     A text that is null or has no letter is `und`, with score 0, and isn't accepted. Ids may be null or repeated, and each
     row gets its own result; equal texts get the same. A long text is compressed block by block.
     """
-    sent, made = docs.sparkSession.sparkContext.broadcast(dictionaries), {}
+    sent, key = docs.sparkSession.sparkContext.broadcast(dictionaries), _key(dictionaries)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, found in _texts(sent, made, batch.column(1)):
+            for low, found in _texts(sent, key, batch.column(1)):
                 langs, scores, ok = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(found)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(predicted, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.released(predicted), SCHEMA)
 
 
 def accepted_rows(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose language is recognised, columns as they are; without any dictionary, those with a letter."""
-    sent, made, place = docs.sparkSession.sparkContext.broadcast(dictionaries), {}, docs.columns.index(text_col)
+    sent, key, place = docs.sparkSession.sparkContext.broadcast(dictionaries), _key(dictionaries), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, found in _texts(sent, made, batch.column(place)):
+            for low, found in _texts(sent, key, batch.column(place)):
                 kept = batch.slice(low, len(found)).filter(pa.array([ok for _, _, ok in found], pa.bool_()))
                 if len(kept):
                     yield kept
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(common.released(keep), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

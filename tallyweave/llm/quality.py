@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 texts = [t or "" for t in batch.column(1).slice(low, high - low).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sent.value.scores(texts))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scored, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.released(scored), SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:

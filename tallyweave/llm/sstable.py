@@ -34,8 +34,9 @@ MAGIC = b"TWSSTAB1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Distinct pieces of text that a worker remembers, twice at most.
-CACHE_UNITS = 600_000
+#: Distinct pieces of text that a worker remembers, twice at most, and the most characters of each; longer ones, as in
+#: texts without spaces, are forgotten after the batch that they stand in.
+CACHE_UNITS, CACHE_CHARS = 600_000, 64
 
 
 class UnitEncoder:
@@ -61,6 +62,7 @@ class UnitEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     _unsafe = re.compile(r"\s ")
     _cuts = re.compile(r"(?<=\S)(?= )")
@@ -96,6 +98,7 @@ class UnitEncoder:
             self.pieces = {}
         cut: dict[str, list[str]] = {}
         wanted: set[str] = set()
+        self.long = [unit for unit in missing if len(unit) > CACHE_CHARS]
         for unit in missing:
             if (old := self.older.get(unit)) is not None:
                 self.known[unit] = old
@@ -137,18 +140,21 @@ class UnitEncoder:
                 continue
             first = self.plain(units[0]) if units[0] else b""
             out.append(first + b"".join(map(self.known.__getitem__, units[1:])))
+        self.forget()
         return out
 
-
-_encoders: dict[int, UnitEncoder] = {}
+    def forget(self) -> None:
+        """Drop the long pieces of a batch."""
+        for unit in self.long:
+            for part in self.parts(unit) or ():
+                self.pieces.pop(part, None)
+            self.known.pop(unit, None)
+        self.long = []
 
 
 def encoder(model: bytes) -> UnitEncoder:
     """One encoder for each vocabulary and Python worker."""
-    key = zlib.crc32(model)
-    if key not in _encoders:
-        _encoders[key] = UnitEncoder(model)
-    return _encoders[key]
+    return common.held(f"sstable {zlib.crc32(model)}", lambda: UnitEncoder(model))
 
 
 def key_of(doc_id: int | None, nth: int = 0) -> bytes:
@@ -290,6 +296,8 @@ class Reader:
         return next((np.frombuffer(v, self.kind) for x, v in self.block(k) if x == key), None) if k >= 0 else None
 
 
+#: The most tasks that shards are dealt to when they are read.
+MOST_TASKS = 100_000
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_id long, last_id long, n_bytes long"
 
 
@@ -337,14 +345,14 @@ def write(docs: DataFrame, folder: str, model: bytes, end_id: int | None = 0, id
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
     dealt = rows.repartitionByRange(F.col("k"), F.xxhash64("t")).sortWithinPartitions(F.col("k"), F.xxhash64("t"))
-    return sorted((r.asDict() for r in dealt.mapInArrow(shard, MANIFEST).collect()), key=lambda r: r["shard"])
+    return sorted((r.asDict() for r in dealt.mapInArrow(common.released(shard), MANIFEST).collect()), key=lambda r: r["shard"])
 
 
 READ = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
 
 
 def read(spark: SparkSession, manifest: list[dict], with_ids: bool = False) -> DataFrame:
-    """The documents of all shards, a task for each shard; `start` counts the ids of all documents before.
+    """The documents of all shards, whose places are rows that are dealt evenly; `start` counts the ids of all documents before.
 
     `ids_crc32` is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers; with_ids adds them as an array.
     """
@@ -354,8 +362,7 @@ def read(spark: SparkSession, manifest: list[dict], with_ids: bool = False) -> D
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                number, path, start = shards[k]
+            for number, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with Reader(path) as reader:
                     for block in range(len(reader.firsts)):
                         rows: dict[str, list] = {"doc_id": [], "shard": [], "start": [], "n_tokens": [], "ids_crc32": []} | ({"ids": []} if with_ids else {})
@@ -376,7 +383,8 @@ def read(spark: SparkSession, manifest: list[dict], with_ids: bool = False) -> D
 
     if not shards:
         return spark.createDataFrame([], schema)
-    return spark.range(0, len(shards), 1, len(shards)).mapInArrow(documents, schema)
+    places = spark.createDataFrame(shards, "shard int, path string, start long")
+    return places.repartition(min(len(shards), MOST_TASKS)).mapInArrow(documents, schema)
 
 
 def shards_of(docs: DataFrame, model: bytes, end_id: int | None = 0) -> DataFrame:

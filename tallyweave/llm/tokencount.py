@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tallyweave.llm import common
 
 SPACE = "▁"
-#: Distinct pieces of text that a worker remembers, twice at most.
-CACHE_UNITS = 600_000
+#: Distinct pieces of text that a worker remembers, twice at most, and the most characters of each; longer ones, as in
+#: texts without spaces, are forgotten after the batch that they stand in.
+CACHE_UNITS, CACHE_CHARS = 600_000, 64
 
 
 def count_merged(symbols: str, rank: dict[str, int]) -> int:
@@ -83,6 +84,8 @@ class Counter:
             for c in s:
                 if c not in self.rank:
                     n += len(c.encode()) - 1
+            if len(s) > CACHE_CHARS:
+                return n
             if len(self.parts) > CACHE_UNITS:
                 self.parts = {}
             self.parts[s] = n
@@ -103,7 +106,7 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         if len(self.known) > CACHE_UNITS:
             self.older, self.known = self.known, {}
-        known, cut = self.known, []
+        known, cut, long = self.known, [], []
         wanted: set[str] = set()
         for text in texts:
             if SPACE in text:
@@ -118,17 +121,17 @@ class Counter:
             if u not in known:
                 old = self.older.get(u)
                 known[u] = old if old is not None else self.unit(SPACE + u.replace(" ", SPACE))
-        return [sum(map(known.__getitem__, units)) for units in cut]
-
-
-_counters: dict[int, Counter] = {}
+                if len(u) > CACHE_CHARS:
+                    long.append(u)
+        out = [sum(map(known.__getitem__, units)) for units in cut]
+        for u in long:
+            del known[u]
+        return out
 
 
 def counter(model: bytes) -> Counter:
-    key = zlib.crc32(model)
-    if key not in _counters:
-        _counters[key] = Counter(model)
-    return _counters[key]
+    """One counter for each vocabulary and Python worker."""
+    return common.held(f"tokencount {zlib.crc32(model)}", lambda: Counter(model))
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -150,4 +153,4 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str =
                 n = np.array(own.count([t or "" for t in part.column(1).to_pylist()]), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at[low : high + 1])), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(counted, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(common.released(counted), SCHEMA)
