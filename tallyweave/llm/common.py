@@ -96,6 +96,12 @@ def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
     return wrapped
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this run has made in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -40,6 +40,31 @@ def test_token_counts_equal_the_library(spark):
     assert got == want
 
 
+def test_long_pieces_are_counted_and_encoded_but_not_kept():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    random.seed(20)
+    code = "".join(random.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(50_000))
+    cjk = "".join(chr(random.randint(0x4E00, 0x9FFF)) for _ in range(5_000))
+    texts = [code, f"a {code[:3000]}, b {cjk}", cjk, "plain words " * 20_000]
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    counter = tokencount.Counter(model)
+    assert counter.count(texts) == [len(x) for x in sentencepiece.SentencePieceProcessor(model_proto=model).encode(texts)]
+    assert max(map(len, [*counter.known, *counter.parts])) <= tokencount.CACHE_CHARS + 1
+    model = queries.tokenizer_file("byte_bpe_50k.json")
+    encode = sstable.UnitEncoder(model)
+    library = Tokenizer.from_buffer(model)
+    assert [np.frombuffer(x, encode.kind).tolist() for x in encode.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, [*encode.known, *encode.pieces])) <= sstable.CACHE_CHARS + 1
+
+
+def test_token_operators_on_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert tokencount.count_tokens(df, queries.tokenizer_file("piece_bpe_32k.model")).collect() == []
+    assert sstable.shards_of(df, queries.tokenizer_file("byte_bpe_50k.json")).collect() == []
+
+
 def test_merging_prefers_the_lowest_rank_then_the_left():
     rank = {"ab": 0, "bc": 1, "abc": 2, "aa": 3}
     assert tokencount.count_merged("abc", rank) == 1
