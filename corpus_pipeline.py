@@ -9,12 +9,15 @@ from tallyweave.llm import common, dartminhash, decontam, langid, mixing, querie
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or with too narrow a margin go."""
+    """Documents whose language is recognised; those without a letter or with too narrow a margin go.
+
+    Where no document has a language to learn from, those without a letter go alone.
+    """
     return langid.accepted_rows(docs, langid.labelled_sample(docs, F.lit(True)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that with the least id."""
+    """One document of each class of near-duplicates, that with the least id; a null id comes after all others."""
     return dartminhash.representatives(docs)
 
 
@@ -46,11 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from the table `documents` of sf_dir."""
+    """The rows of the last stage, from the table `documents` of sf_dir. What a stage wrote goes once the next one has written."""
     docs = queries.table(spark, sf_dir, "documents")
-    folder = common.fresh_folder(spark, "pipeline")
+    folder, before = common.fresh_folder(spark, "pipeline"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs
