@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tallyweave.operators.profile import profile
 from tallyweave.plans import report
-from tallyweave.sources.delimited import read_any, read_table
+from tallyweave.sources.delimited import _path, read_any, read_table
 
 
 def main(args: list[str] | None = None) -> int:
@@ -18,6 +18,10 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("-o", "--output", default="profile.html")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("tallyweave").getOrCreate()
+    where, fs = _path(spark, given.file)
+    if not fs.exists(where):
+        print(f"There is no file {given.file}.")
+        return 1
     df = read_any(spark, given.file, given.delimiter) if given.delimiter else read_table(spark, given.file)
     result = profile(df)
     report.write(report.profile_html(result, given.file), given.output)

@@ -6,11 +6,15 @@ frequent values of all columns, where a count of distinct values for each column
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUANTILES = (0.25, 0.5, 0.75)
+#: Bins of a pass that narrows a quantile down.
+BINS = 1024
 
 
 def _columns(df: DataFrame, columns: list[str] | None, numeric: bool | None = None) -> list[str]:
@@ -45,15 +49,76 @@ def missing_distinct(df: DataFrame, columns: list[str] | None = None, approximat
     return counted.select("column_name", "n_rows", "missing_count", F.coalesce(pct("missing_count"), F.lit(0.0)).alias("missing_pct"), "distinct_count", F.coalesce(pct("distinct_count"), F.lit(0.0)).alias("cardinality_pct"))
 
 
+def _narrowed(values: DataFrame, intervals: set[tuple[int, float, float]]) -> dict[tuple[int, float, float], list]:
+    """For each interval (column, low, high) its bins in order, as (values in it, least, largest)."""
+    told = values.sparkSession.createDataFrame(sorted(intervals), "k int, low double, high double")
+    inside = values.join(F.broadcast(told), "k").where("v >= low and v <= high")
+    bins = F.least(F.floor((F.col("v") / BINS - F.col("low") / BINS) / (F.col("high") / BINS - F.col("low") / BINS) * BINS), F.lit(BINS - 1))
+    found: dict[tuple[int, float, float], list] = {}
+    for r in inside.groupBy("k", "low", "high", bins.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).orderBy("k", "low", "high", "bin").collect():
+        found.setdefault((r.k, r.low, r.high), []).append((r.n, r.least, r.most))
+    return found
+
+
+def _ranked(values: DataFrame, spans: dict[int, tuple[float, float]], ranks: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The value of each rank (column, place from 0) among rows (k, v), by histograms that narrow down until a bin has one value.
+
+    A pass counts by column and bin, so neither a task nor the driver holds a column's values.
+    """
+    at = {(k, place): (*spans[k], place) for k, place in ranks}
+    done: dict[tuple[int, int], float] = {}
+    while at:
+        done |= {key: low for key, (low, high, _) in at.items() if low == high}
+        at = {key: x for key, x in at.items() if key not in done}
+        if not at:
+            break
+        bins = _narrowed(values, {(k, low, high) for (k, _), (low, high, _) in at.items()})
+        for (k, place), (low, high, left) in at.items():
+            for n, least, most in bins[k, low, high]:
+                if left < n:
+                    at[k, place] = (least, most, left)
+                    break
+                left -= n
+    return done
+
+
+def quantiles(df: DataFrame, names: list[str], shares: tuple[float, ...] = QUANTILES) -> list[list[float | None]]:
+    """For each numeric column its quantiles, interpolated between neighbours; those of no value are None. NaN and infinite values don't count."""
+    value = lambda c: F.col(f"`{c}`").cast("double")
+    finite = lambda c: F.abs(value(c)) < float("inf")  # noqa: E731  false for NaN, which is larger than all
+    sums = df.agg(*(e.alias(f"{n}{i}") for i, c in enumerate(names) for n, e in (("n", F.count_if(finite(c))), ("low", F.min(F.when(finite(c), value(c)))), ("high", F.max(F.when(finite(c), value(c))))))).first()
+    each = F.array(*(F.struct(F.lit(i).alias("k"), F.when(finite(c), value(c)).alias("v")) for i, c in enumerate(names)))
+    values = df.select(F.explode(each).alias("x")).select("x.*").where("v is not null")
+    places = {(i, p): p * (sums[f"n{i}"] - 1) for i in range(len(names)) for p in shares if sums[f"n{i}"]}
+    ranks = {(i, r) for (i, _), x in places.items() for r in (math.floor(x), math.ceil(x))}
+    known = _ranked(values, {i: (sums[f"low{i}"], sums[f"high{i}"]) for i, _ in ranks}, ranks)
+
+    def between(i: int, p: float) -> float | None:
+        if (i, p) not in places:
+            return None
+        x = places[i, p]
+        low, high = known[i, math.floor(x)], known[i, math.ceil(x)]
+        return low + (high - low) * (x - math.floor(x))
+
+    return [[between(i, p) for p in shares] for i in range(len(names))]
+
+
 def numeric_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """column_name, min, max, mean, std (of a sample), median, p25, p75, to 4 places, of each numeric column, in one pass.
+    """column_name, min, max, mean, std (of a sample), median, p25, p75, to 4 places, of each numeric column.
 
-    Quantiles interpolate between values; `approximate` takes them from sketches of fixed size instead.
+    Quantiles interpolate between values and are exact, by a few passes of bounded memory; `approximate` takes them from
+    sketches of fixed size in the one pass that the other statistics need.
     """
     names = _columns(df, columns, numeric=True)
     value = lambda c: F.col(f"`{c}`").cast("double")
-    quantiles = (lambda c: F.percentile_approx(value(c), list(QUANTILES), 10_000)) if approximate else (lambda c: F.percentile(value(c), list(QUANTILES)))
-    sums = df.agg(*(e.alias(f"{k}{i}") for i, c in enumerate(names) for k, e in (("min", F.min(value(c))), ("max", F.max(value(c))), ("mean", F.avg(value(c))), ("std", F.stddev_samp(value(c))), ("q", quantiles(c)))))
+    if approximate:
+        cut = lambda i, c: F.percentile_approx(value(c), list(QUANTILES), 10_000)
+    else:
+        known = quantiles(df, names)
+        cut = lambda i, c: F.array(*(F.lit(q).cast("double") for q in known[i]))
+    sums = df.agg(*(e.alias(f"{k}{i}") for i, c in enumerate(names) for k, e in (("min", F.min(value(c))), ("max", F.max(value(c))), ("mean", F.avg(value(c))), ("std", F.stddev_samp(value(c))), *((("q", cut(i, c)),) if approximate else ()))))
+    if not approximate:
+        sums = sums.select("*", *(cut(i, c).alias(f"q{i}") for i, c in enumerate(names)))
     r = lambda e, n: F.round(e, 4).alias(n)
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), r(F.col(f"min{i}"), "min"), r(F.col(f"max{i}"), "max"), r(F.col(f"mean{i}"), "mean"), r(F.col(f"std{i}"), "std"), r(F.col(f"q{i}")[1], "median"), r(F.col(f"q{i}")[0], "p25"), r(F.col(f"q{i}")[2], "p75")) for i, c in enumerate(names)))
     return sums.select(F.inline(rows))

@@ -1,11 +1,14 @@
 """Candidate pairs by TF-IDF cosine: an inverted-index join within each country, then the best K of each record.
 
-The join is on (country, gram). `max_df` is part of the method, and it is what bounds the join: a gram that more than
-that share of the pool has, joins nothing.
+The join is on numbers that stand for (country, gram), and sums go by numbers that stand for ids; they are hashes that are
+checked to be different for different values. `max_df` is part of the method, and it is what bounds the join: a gram that
+more than that share of the pool has, joins nothing.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,26 +58,45 @@ def fit(pool: DataFrame, gram_column: str = "grams", min_df: int = MIN_DF, max_d
     return kept.select("country", "gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _numbers(rows: DataFrame, *columns: str) -> Column:
+    """A hash of the columns that is another for each of the rows' values; a seed after which two agree is passed over."""
+    values = F.struct(*columns)
+    for seed in count(1):
+        number = F.xxhash64(*columns, F.lit(seed))
+        ends = rows.groupBy(number.alias("number")).agg(F.min(values).alias("low"), F.max(values).alias("high"))
+        if ends.where("low <> high").isEmpty():
+            return number
+
+
 def vectors(records: DataFrame, vocabulary: DataFrame, sublinear: bool = True, gram_column: str = "grams") -> DataFrame:
-    """entity_id, country, gram, weight: tf or 1 + ln tf, times idf, of unit length over the vocabulary."""
+    """entity_id, gram, weight: tf or 1 + ln tf, times idf, of unit length over the vocabulary; `number` instead of the gram
+    where the vocabulary has one. An id has one country."""
     counts = records.select("entity_id", "country", F.explode(gram_column).alias("gram")).groupBy("entity_id", "country", "gram").agg(F.count("*").alias("tf"))
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocabulary, ["country", "gram"]).select("entity_id", "country", "gram", (tf * F.col("idf")).alias("w"))
+    kept = "number" if "number" in vocabulary.columns else "gram"
+    raw = counts.join(vocabulary, ["country", "gram"]).select("entity_id", "country", kept, (tf * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id", "country")))
-    return raw.select("entity_id", "country", "gram", (F.col("w") / norm).alias("weight"))
+    return raw.select("entity_id", "country", kept, (F.col("w") / norm).alias("weight"))
 
 
 def similar(s1: DataFrame, pool: DataFrame, top_k: int = TOP_K, min_similarity: float = MIN_SIMILARITY, sublinear: bool = True, **fit_options) -> DataFrame:
     """s1_id, cand_id, score, rank: the top_k pool records of each record by cosine, those over min_similarity.
 
-    Both sides have entity_id, country and grams. Scores are rounded to 6 places, and equal ones go by id.
+    Both sides have entity_id, country and grams. Scores are rounded to 6 places, and equal ones go by id. Ids come back
+    only for pairs that can be among the top_k.
     """
     vocabulary = fit(pool, **fit_options)
-    left = vectors(s1, vocabulary, sublinear).select(F.col("entity_id").alias("s1_id"), "country", "gram", F.col("weight").alias("w1"))
-    right = vectors(pool, vocabulary, sublinear).select(F.col("entity_id").alias("cand_id"), "country", "gram", F.col("weight").alias("w2"))
-    scores = left.join(right, ["country", "gram"]).groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("score"))
+    vocabulary = vocabulary.withColumn("number", _numbers(vocabulary, "country", "gram"))
+    names = s1.select("entity_id").unionByName(pool.select("entity_id"))
+    own = _numbers(names, "entity_id")
+    left = vectors(s1, vocabulary, sublinear).select(own.alias("a"), "number", F.col("weight").alias("w1"))
+    right = vectors(pool, vocabulary, sublinear).select(own.alias("b"), "number", F.col("weight").alias("w2"))
+    scores = left.join(right, "number").groupBy("a", "b").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("score"))
+    best = F.rank().over(Window.partitionBy("a").orderBy(F.desc("score")))
+    few = scores.where(F.col("score") > min_similarity).withColumn("upto", best).where(F.col("upto") <= top_k).drop("upto")
+    named = few.join(s1.select(own.alias("a"), F.col("entity_id").alias("s1_id")).distinct(), "a").join(pool.select(own.alias("b"), F.col("entity_id").alias("cand_id")).distinct(), "b")
     order = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
-    return scores.where(F.col("score") > min_similarity).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("s1_id", "cand_id", "score", "rank")
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("s1_id", "cand_id", "score", "rank")
 
 
 def token_idf(records: DataFrame, column: str = "name_norm") -> DataFrame:

@@ -1,8 +1,11 @@
 """The queries of the profiling and record linkage operators on the driver's tables, each beside its SQL.
 
-Records are the rows of `documents`: the name is the first 60 characters of the text, the address the next 120, the
-country its language. Sources src0 to src4 are the first source, src5 to src11 the second, the others the third. Two
-records match when their texts and languages are equal.
+Records are the rows of `documents`: the name is the first line of the text, the address all other lines, the country its
+language. Sources src0 to src4 are the first source, src5 to src11 the second, the others the third. Two records match
+when their texts and languages are equal.
+
+Cosines and similarities of pairs are made for names and addresses, and some of them take the product of two lengths. There,
+and only there, a record's name is the first 60 characters of the text and its address the next 120.
 """
 
 from __future__ import annotations
@@ -47,11 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Records and their SQL.
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str, name: Column, address: Column) -> DataFrame:
     number = F.substr(F.col("source"), F.lit(4)).cast("int")
     prefix = F.when(number < 5, "S1-").when(number < 12, "S2-").otherwise("S3-")
-    body = F.col("text")
-    return table(spark, sf_dir, "documents").select(F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), F.substring(body, 1, 60).alias("business_name"), F.substring(body, 61, 120).alias("business_address"), F.col("lang").alias("country"), body)
+    return table(spark, sf_dir, "documents").select(F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), name.alias("business_name"), address.alias("business_address"), F.col("lang").alias("country"), "text")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts: the first line is the name, the others are the address."""
+    name = F.substring_index("text", "\n", 1)
+    return _records(spark, sf_dir, name, F.substr(F.col("text"), F.length(name) + 2))
+
+
+def short_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and addresses as long as real ones, for what compares pairs."""
+    return _records(spark, sf_dir, F.substring("text", 1, 60), F.substring("text", 61, 120))
 
 
 def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,17 +87,23 @@ def plain_address(column: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(column), "[^a-z0-9]+", " "))
 
 
-def plain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain_records(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
     """Records normalized by expressions alone."""
-    return records(spark, sf_dir).select("entity_id", text.plain_name(F.col("business_name")).alias("name_norm"), plain_address(F.col("business_address")).alias("addr_norm"), F.col("country").alias("country_norm"), "text", "country")
+    rows = (short_records if short else records)(spark, sf_dir)
+    return rows.select("entity_id", text.plain_name(F.col("business_name")).alias("name_norm"), plain_address(F.col("business_address")).alias("addr_norm"), F.col("country").alias("country_norm"), "text", "country")
 
 
-_REC = """rec AS (SELECT (CASE WHEN CAST(substr(source, 4) AS INT) < 5 THEN 'S1-' WHEN CAST(substr(source, 4) AS INT) < 12 THEN 'S2-' ELSE 'S3-' END) || CAST(doc_id AS VARCHAR) AS entity_id,
- substr(text, 1, 60) AS business_name, substr(text, 61, 120) AS business_address, lang AS country, text FROM documents),
+def _rec_sql(name: str, address: str) -> str:
+    return f"""rec AS (SELECT (CASE WHEN CAST(substr(source, 4) AS INT) < 5 THEN 'S1-' WHEN CAST(substr(source, 4) AS INT) < 12 THEN 'S2-' ELSE 'S3-' END) || CAST(doc_id AS VARCHAR) AS entity_id,
+ {name} AS business_name, {address} AS business_address, lang AS country, text FROM documents),
  truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM rec a JOIN rec b ON a.text = b.text AND a.country = b.country WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%'),
  gt AS (SELECT r.entity_id AS source1_entity_id, l.ids AS matched_entity_ids FROM rec r LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS ids FROM truth GROUP BY s1_id) l ON l.s1_id = r.entity_id WHERE r.entity_id LIKE 'S1-%')"""
 
 
+_REC = _rec_sql("string_split(text, chr(10))[1]", "substr(text, length(string_split(text, chr(10))[1]) + 2)")
+_REC_SHORT = _rec_sql("substr(text, 1, 60)", "substr(text, 61, 120)")
+
+
 def _plain_sql(column: str) -> str:
     out = f"trim(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g'))"
     for pattern, long in text.NAME_RULES:
@@ -93,11 +112,15 @@ def _plain_sql(column: str) -> str:
     return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
-_NORM = _REC + f""",
+def _norm_sql(rec: str) -> str:
+    return rec + f""",
  norm0 AS (SELECT entity_id, {_plain_sql("business_name")} AS name_norm, trim(regexp_replace(lower(business_address), '[^a-z0-9]+', ' ', 'g')) AS addr_norm, country, text FROM rec),
  norm AS (SELECT *, list_filter(string_split(name_norm, ' '), lambda t: t <> '') AS toks, regexp_extract(addr_norm, '[0-9]+') AS house,
   coalesce(list_reduce(list_prepend('', regexp_extract_all(addr_norm, '[0-9]{{4,}}')), lambda b, x: CASE WHEN length(x) > length(b) THEN x ELSE b END), '') AS pin FROM norm0)"""
 
+
+_NORM, _NORM_SHORT = _norm_sql(_REC), _norm_sql(_REC_SHORT)
+
 # Profiles.
 
 
@@ -112,9 +135,9 @@ def profile_missing_distinct_orders(spark, sf_dir):
     return profile.missing_distinct(table(spark, sf_dir, "orders"))
 
 
-@query(_distinct_sql("documents", ["doc_id", "lang", "source", "n_chars"]))
+@query(_distinct_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
 def profile_missing_distinct_documents(spark, sf_dir):
-    return profile.missing_distinct(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source", "n_chars"])
+    return profile.missing_distinct(table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -127,9 +150,9 @@ def _stats_sql(name: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {r(f'MIN({c})', 'min')}, {r(f'MAX({c})', 'max')}, {r(f'AVG({c})', 'mean')}, {r(f'STDDEV({c})', 'std')}, {r(f'MEDIAN({c})', 'median')}, {r(f'QUANTILE_CONT({c}, 0.25)', 'p25')}, {r(f'QUANTILE_CONT({c}, 0.75)', 'p75')} FROM {name}" for c in columns)
 
 
-@query(_stats_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
+@query(_stats_sql("lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 def profile_numeric_lineitem(spark, sf_dir):
-    return profile.numeric_stats(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])
+    return profile.numeric_stats(table(spark, sf_dir, "lineitem"))
 
 
 @query(_stats_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
@@ -142,14 +165,14 @@ def _top_sql(name: str, columns: list[str], k: int = 5) -> str:
     return f"SELECT column_name, CAST(rank AS INT) AS rank, value, n, round(n * 100.0 / total, 2)::DOUBLE AS pct FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM ({each})) WHERE rank <= {k}"
 
 
-@query(_top_sql("documents", ["lang", "source"]))
+@query(_top_sql("documents", ["text", "lang", "source"]))
 def profile_top5_documents(spark, sf_dir):
-    return profile.top_values(table(spark, sf_dir, "documents"), ["lang", "source"])
+    return profile.top_values(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
 
 
-@query(_top_sql("part", ["p_brand", "p_type"]))
+@query(_top_sql("part", ["p_name", "p_brand", "p_type"]))
 def profile_top5_part(spark, sf_dir):
-    return profile.top_values(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
+    return profile.top_values(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
 
 @query(_top_sql("events", ["event_type"]))
@@ -311,11 +334,11 @@ def phonetic_codes(spark, sf_dir):
 # Blocking.
 
 
-def _keyed_sql(names: tuple[str, ...], most: int, total: int | None, cap: int | None = None) -> str:
+def _keyed_sql(names: tuple[str, ...], most: int, total: int | None, cap: int | None = None, norm: str = _NORM) -> str:
     own = {"exact-name": "name_norm", "sorted-tokens": "array_to_string(list_sort(toks), ' ')", "addr-pin": "CASE WHEN house <> '' AND pin <> '' THEN house || '|' || pin ELSE '' END"}
     keys = " UNION ALL ".join(f"SELECT entity_id, {k} AS key_id, {cap or blocking.CAPS[n]} AS cap, country || '|' || {own[n]} AS key FROM norm WHERE name_norm <> '' AND {own[n]} <> ''" for k, n in enumerate(names))
     limit = f" WHERE rank <= {total}" if total else ""
-    return f"""{_NORM}, keys AS ({keys}),
+    return f"""{norm}, keys AS ({keys}),
  light AS (SELECT key_id, key FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY ALL HAVING COUNT(*) <= {most}),
  firsts AS (SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY key_id, key ORDER BY entity_id) AS nth FROM keys k JOIN light USING (key_id, key) WHERE entity_id NOT LIKE 'S1-%') WHERE nth <= cap),
  met AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, b.key_id, b.nth FROM keys a JOIN firsts b USING (key_id, key) WHERE a.entity_id LIKE 'S1-%'),
@@ -358,7 +381,7 @@ def _grams_of(rows: DataFrame) -> DataFrame:
     return rows.select("entity_id", "country", tfidf.grams(F.col("name_norm"), 3, 3).alias("grams"))
 
 
-_TFIDF = f"""{_NORM}, g AS (SELECT entity_id, country, gram, COUNT(*) AS tf FROM (SELECT entity_id, country, unnest(list_transform(range(1, length(name_norm) - 1), lambda i: substr(name_norm, i, 3))) AS gram FROM norm WHERE length(name_norm) >= 3) GROUP BY ALL),
+_TFIDF = f"""{_NORM_SHORT}, g AS (SELECT entity_id, country, gram, COUNT(*) AS tf FROM (SELECT entity_id, country, unnest(list_transform(range(1, length(name_norm) - 1), lambda i: substr(name_norm, i, 3))) AS gram FROM norm WHERE length(name_norm) >= 3) GROUP BY ALL),
  n AS (SELECT country, COUNT(*) AS n FROM norm WHERE entity_id NOT LIKE 'S1-%' GROUP BY country),
  voc AS (SELECT g.country, gram, ln((1 + n) / (1 + COUNT(*)::DOUBLE)) + 1 AS idf FROM g JOIN n USING (country) WHERE entity_id NOT LIKE 'S1-%' GROUP BY g.country, gram, n HAVING COUNT(*) >= 2 AND COUNT(*) <= 0.05 * n),
  raw AS (SELECT entity_id, g.country, g.gram, (1 + ln(tf)) * idf AS w FROM g JOIN voc ON voc.country = g.country AND voc.gram = g.gram),
@@ -368,19 +391,25 @@ _TFIDF = f"""{_NORM}, g AS (SELECT entity_id, country, gram, COUNT(*) AS tf FROM
 
 
 def _near(spark, sf_dir):
-    s1, pool = sides(_grams_of(plain_records(spark, sf_dir)))
+    s1, pool = sides(_grams_of(plain_records(spark, sf_dir, short=True)))
     return tfidf.similar(s1, pool, 10, 0.15, max_df=0.05, max_features=None, fit_sample=None)
 
 
-@query(f"WITH {_TFIDF} SELECT s1_id, cand_id, round(score, 4) AS score FROM near WHERE rank <= 1")
+@query(f"WITH {_TFIDF} SELECT s1_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM near")
 def tfidf_topk(spark, sf_dir):
+    """Ranks 1 to 10 with their scores; sums of doubles in another order may swap two ids whose scores are all but equal."""
+    return _near(spark, sf_dir).select("s1_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_TFIDF} SELECT s1_id, cand_id, round(score, 4) AS score FROM near WHERE rank <= 1")
+def tfidf_best(spark, sf_dir):
     return _near(spark, sf_dir).where("rank <= 1").select("s1_id", "cand_id", F.round("score", 4).alias("score"))
 
 
 @query()
 def tfidf_word_grams(spark, sf_dir):
     """The configuration of the linkage: word-bound grams of 2 to 4 characters, a bounded vocabulary."""
-    rows = plain_records(spark, sf_dir).select("entity_id", "country", tfidf.word_grams(F.col("name_norm")).alias("grams"))
+    rows = plain_records(spark, sf_dir, short=True).select("entity_id", "country", tfidf.word_grams(F.col("name_norm")).alias("grams"))
     return tfidf.similar(*sides(rows), max_df=0.05)
 
 
@@ -401,7 +430,7 @@ def candidate_union_cap(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s1, pool = sides(plain_records(spark, sf_dir))
+    s1, pool = sides(plain_records(spark, sf_dir, short=True))
     return blocking.exact(s1, pool).select("s1_id", "cand_id").unionByName(_neighbours(s1, pool)).distinct(), s1, pool
 
 
@@ -411,7 +440,7 @@ def _neighbours(s1: DataFrame, pool: DataFrame) -> DataFrame:
     return candidates.first_per_record(cut(s1, "s1_id").join(cut(pool, "cand_id"), ["country", "p"]).select("s1_id", "cand_id"), 5).select("s1_id", "cand_id")
 
 
-_PAIRS = f"""{_keyed_sql(("exact-name", "sorted-tokens"), 10**12, None, 10)},
+_PAIRS = f"""{_keyed_sql(("exact-name", "sorted-tokens"), 10**12, None, 10, _NORM_SHORT)},
  nb AS (SELECT s1_id, cand_id FROM (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, row_number() OVER (PARTITION BY a.entity_id ORDER BY b.entity_id) AS rank FROM norm a JOIN norm b ON a.country = b.country AND substr(a.name_norm, 1, 4) = substr(b.name_norm, 1, 4) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%') WHERE rank <= 5),
  ids AS (SELECT s1_id, cand_id FROM cands UNION SELECT s1_id, cand_id FROM nb),
  prs AS (SELECT i.s1_id, i.cand_id, a.name_norm AS n1, b.name_norm AS n2, a.addr_norm AS a1, b.addr_norm AS a2, list_distinct(a.toks) AS t1, list_distinct(b.toks) AS t2,
@@ -552,13 +581,13 @@ def train_pairs_sampler(spark, sf_dir):
 
 @query()
 def gbt_score(spark, sf_dir):
-    """Boosted trees on the expression features, scored on all pairs."""
+    """Boosted trees on the expression features, scored on all pairs; 20 trees stand for the hundreds of the linkage."""
     rows = plain_records(spark, sf_dir)
     pairs, s1, pool = _pairs(spark, sf_dir)
     columns = list(_FEATURE_SQL)
     found = features.native_features(pairs, s1, pool)
     labelled = found.join(truth(rows).withColumn("label", F.lit(1)), ["s1_id", "cand_id"], "left").fillna(0, ["label"])
-    return training.score(found, training.train(labelled, columns, trees=10, depth=4), columns)
+    return training.score(found, training.train(labelled, columns, trees=20, depth=6), columns)
 
 
 @query(f"WITH {_SCORED} SELECT r.entity_id AS source1_entity_id, coalesce((SELECT string_agg(cand_id, ',' ORDER BY prob DESC, cand_id) FROM scored s WHERE s.s1_id = r.entity_id AND prob >= 0.5), '') AS matched_entity_ids FROM rec r WHERE r.entity_id LIKE 'S1-%'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,34 +68,71 @@ def candidates_table(s1: DataFrame, candidates: DataFrame) -> DataFrame:
     return id_lists(s1, candidates, "candidate_entity_ids")
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated text with a header; an empty text is written as nothing."""
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    """One tab-separated file with a header and line feeds; an empty text is written as nothing.
+
+    Tasks write parts in parallel; the driver passes their bytes on to one file, block by block, which takes its name when it
+    is whole.
+    """
+    spark = df.sparkSession
+    folder, draft = f"{path}.{uuid.uuid4().hex}.parts", f"{path}.{uuid.uuid4().hex}.draft"
+    df.write.option("sep", "\t").option("header", False).option("lineSep", "\n").option("emptyValue", "").option("nullValue", "").csv(folder)
+    (parts, fs), (whole, _) = _path(spark, folder), _path(spark, draft)
+    files = sorted(f.getPath().toString() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-"))
+    out = fs.create(whole, True)
+    try:
+        out.write(bytearray(("\t".join(df.columns) + "\n").encode()))
+        for name in files:
+            part = fs.open(_path(spark, name)[0])
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    final = _path(spark, path)[0]
+    fs.delete(final, True)
+    fs.rename(whole, final)
+    fs.delete(parts, True)
 
 
 def write_matches(s1: DataFrame, matches: DataFrame, candidates: DataFrame, folder: str) -> None:
-    """matching_results and candidate_pairs below a folder; a line for each first-source record, also without pairs."""
-    write_tsv(matches_table(s1, matches), f"{folder}/matching_results")
-    write_tsv(candidates_table(s1, candidates), f"{folder}/candidate_pairs")
+    """matching_results.tsv and candidate_pairs.tsv in a folder; a line for each first-source record, also without pairs."""
+    write_tsv(matches_table(s1, matches), f"{folder}/matching_results.tsv")
+    write_tsv(candidates_table(s1, candidates), f"{folder}/candidate_pairs.tsv")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What tells a table's content from any other, whatever the order of its rows: names, types, and sums of row hashes."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sums = [F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2)]
+    return hashlib.sha256(repr((df.dtypes, tuple(df.agg(F.count("*"), *sums).first()))).encode()).hexdigest()[:16]
 
 
 class StageStore:
-    """Stage results in Parquet under a folder, by stage name and a hash of the configuration that they depend on.
+    """Stage results in Parquet under a folder, by stage name and a hash of what they depend on: configuration and input tables.
 
-    A changed configuration has another path, so results of an older one are never taken for it.
+    A changed configuration or input has another path, so results of an older one are never taken for it.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, config: dict):
+    def __init__(self, spark: SparkSession, folder: str, config: dict, inputs: tuple[DataFrame, ...] = ()):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.key = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
+        known = json.dumps(config, sort_keys=True, default=str) + "".join(map(fingerprint, inputs))
+        self.key = hashlib.sha256(known.encode()).hexdigest()[:16]
 
     def path(self, stage: str) -> str:
         return f"{self.folder}/{self.key}/{stage}"
 
     def exists(self, stage: str) -> bool:
         """Whether a stage was written to its end."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(stage)}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        path, fs = _path(self.spark, f"{self.path(stage)}/_SUCCESS")
+        return fs.exists(path)
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The stage's rows, made and written unless they are there."""

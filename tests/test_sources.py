@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.__main__ import main
-from tallyweave.plans import linkage, report
+from tallyweave.plans import explore, linkage, report
 from tallyweave.sources import delimited
 from tallyweave.streaming import incremental
 
@@ -19,9 +19,13 @@ def test_matches_have_a_line_for_each_record(spark, tmp_path):
     s1 = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
     found = spark.createDataFrame([("S1-1", "S2-9", 2), ("S1-1", "S2-5", 1)], "s1_id string, cand_id string, rank int")
     delimited.write_matches(s1, found.where("rank = 1"), found, str(tmp_path / "out"))
-    read = lambda n: sorted(line for f in (tmp_path / "out" / n).glob("part-*") for line in f.read_text().splitlines()[1:])
-    assert read("candidate_pairs") == ["S1-1\tS2-5,S2-9", "S1-2\t"]
-    assert read("matching_results") == ["S1-1\tS2-5", "S1-2\t"]
+    delimited.write_matches(s1.repartition(3), found.where("rank = 1"), found, str(tmp_path / "out"))  # again, over the first
+    read = lambda n: (tmp_path / "out" / f"{n}.tsv").read_bytes().decode().split("\n")
+    head, *lines = read("candidate_pairs")
+    assert head == "source1_entity_id\tcandidate_entity_ids" and sorted(lines) == ["", "S1-1\tS2-5,S2-9", "S1-2\t"]
+    head, *lines = read("matching_results")
+    assert head == "source1_entity_id\tmatched_entity_ids" and sorted(lines) == ["", "S1-1\tS2-5", "S1-2\t"]
+    assert sorted(f.name for f in (tmp_path / "out").iterdir() if not f.name.startswith(".")) == ["candidate_pairs.tsv", "matching_results.tsv"]
 
 
 def test_stages_are_found_again_by_configuration(spark, tmp_path):
@@ -35,6 +39,30 @@ def test_stages_are_found_again_by_configuration(spark, tmp_path):
     assert store.load_value("v") == {"t": 0.5}
 
 
+def test_stages_are_made_anew_for_other_inputs(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
+    same = rows.orderBy("v").repartition(3)
+    assert delimited.fingerprint(rows) == delimited.fingerprint(same)
+    others = [rows.limit(1), rows.union(rows), rows.withColumnRenamed("v", "w"), rows.withColumn("v", F.coalesce("v", F.lit(0)))]
+    assert len({delimited.fingerprint(df) for df in [rows, *others]}) == 5
+    made = []
+    for df in (rows, same, others[0]):
+        delimited.StageStore(spark, str(tmp_path), {}, (df,)).stage("x", lambda df=df: made.append(1) or df).count()
+    assert len(made) == 2
+
+
+def test_exploration_report(spark, tmp_path, capsys):
+    s1, pool, gt = raw_records(spark)
+    for name, df in (("s1", s1), ("pool", pool), ("gt", gt)):
+        delimited.write_tsv(df, f"{tmp_path}/{name}.tsv")
+    args = ["--first", f"{tmp_path}/s1.tsv", "--pool", f"{tmp_path}/pool.tsv", "--truth", f"{tmp_path}/gt.tsv", "-o", f"{tmp_path}/e.html"]
+    assert explore.main(args) == 0
+    html = (tmp_path / "e.html").read_text()
+    assert "Pairs by source" in html and "Abbreviations" in html and "<td>60</td>" in html
+    assert explore.main(["--first", f"{tmp_path}/none.tsv"]) == 1 and main(["-f", f"{tmp_path}/none.tsv"]) == 1
+    assert "There is no file" in capsys.readouterr().out
+
+
 def test_sample_table(spark):
     df = delimited.sample_table(spark, 500)
     r = df.agg(F.min("quantity"), F.max("quantity"), F.count("rating"), F.max("price")).first()
@@ -72,6 +100,12 @@ def test_linkage_from_training_to_output(spark, tmp_path):
     right = matches.where(F.substring("s1_id", 4, 9) == F.substring("cand_id", 4, 9)).count()
     assert right >= 55
     assert linkage.run_inference(spark, s1, pool, str(tmp_path / "store"), str(tmp_path / "quick"), settings, quick=True).count() >= 50
+    fewer = pool.where("entity_id < 'S2-3'")  # other records give other matches, not those that were kept
+    again = linkage.run_inference(spark, s1, fewer, str(tmp_path / "store"), str(tmp_path / "out"), settings)
+    wanted = {r.entity_id for r in fewer.collect()}
+    assert 0 < again.count() < matches.count() and {r.cand_id for r in again.collect()} <= wanted
+    [log, *_] = sorted((tmp_path / "store" / "logs").iterdir())
+    assert "memory after" in log.read_text()
 
 
 def test_arriving_records_are_blocked_once(spark, tmp_path):
@@ -93,5 +127,5 @@ def test_arriving_records_are_blocked_once(spark, tmp_path):
 def test_entry(spark, name):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 4
+    assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -1,3 +1,4 @@
+import unicodedata
 import pytest
 
 from tallyweave.functions import fuzzy, phonetic, text
@@ -83,3 +84,16 @@ def test_normalized_records(spark):
     rows = {r.entity_id: r for r in text.normalize_records(raw, "french").collect()}
     assert rows["S1-1"].name_norm == "delta incorporated" and rows["S1-1"].core_name == "delta" and rows["S1-1"].country_norm == "us"
     assert rows["S2-1"].name_norm == "" and rows["S2-1"].addr_norm == "5 main street" and rows["S2-1"].country_norm == "unknown"
+
+
+def test_transliteration_follows_unicode_names():
+    scripts = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+    table = text.transliteration()
+    of = lambda name: table[ord(unicodedata.lookup(name))]
+    for script in scripts:
+        assert [of(f"{script} {n}") for n in ("LETTER KA", "LETTER AA", "VOWEL SIGN II", "LETTER TTA")] == ["ka", "a", "i", "ta"]
+        assert [of(f"{script} DIGIT {n}") for n in ("ONE", "NINE")] == ["1", "9"]
+        assert of(f"{script} SIGN VIRAMA") == ""
+    assert of("DEVANAGARI SIGN ANUSVARA") == of("DEVANAGARI SIGN CANDRABINDU") == of("SINHALA SIGN ANUSVARAYA") == "n"
+    assert of("DEVANAGARI SIGN VISARGA") == "h" and of("DEVANAGARI OM") == "om" and of("DEVANAGARI LETTER VOCALIC R") == "ri"
+    assert table[0x200C] == table[0x200D] == ""
