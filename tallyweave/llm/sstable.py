@@ -36,7 +36,7 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct pieces of text that a worker remembers, twice at most, and the most characters of each; longer ones, as in
 #: texts without spaces, are forgotten after the batch that they stand in.
-CACHE_UNITS, CACHE_CHARS = 600_000, 64
+CACHE_UNITS, CACHE_CHARS = 120_000, 64
 
 
 class UnitEncoder:
