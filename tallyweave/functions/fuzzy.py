@@ -1,12 +1,15 @@
 """String similarities without a built-in function, from their published definitions, as Arrow pandas UDFs.
 
-Each UDF takes pairs in batches and works out each distinct pair once.
+Each UDF takes pairs in batches and works out each distinct pair once. The windows that a partial ratio slides over are
+compared all at once, for many pairs together, by combing strands (A. Tiskin, "Semi-local string comparison", 2008); the
+scalar functions state what is computed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,16 +88,17 @@ def token_ratio(a: str, b: str) -> float:
     return max(token_sort_ratio(a, b), token_set_ratio(a, b))
 
 
-def partial_token_ratio(a: str, b: str) -> float:
+def partial_token_ratio(a: str, b: str, known: dict[tuple[str, str], float] | None = None) -> float:
     x, y = set(a.split()), set(b.split())
     if x & y:
         return 1.0
-    whole = partial_ratio(_joined(a.split()), _joined(b.split()))
-    return max(whole, partial_ratio(_joined(x - y), _joined(y - x)) if x and y else 0.0)
+    partial = partial_ratio if known is None else lambda *pair: known[pair]
+    whole = partial(_joined(a.split()), _joined(b.split()))
+    return max(whole, partial(_joined(x - y), _joined(y - x)) if x and y else 0.0)
 
 
-def weighted_ratio(a: str, b: str) -> float:
-    """Whole, token and partial ratios, weighted by how much longer one string is."""
+def weighted_ratio(a: str, b: str, known: dict[tuple[str, str], float] | None = None) -> float:
+    """Whole, token and partial ratios, weighted by how much longer one string is; `known` has the partial ratios it takes."""
     if not a or not b:
         return 0.0
     longer = max(len(a), len(b)) / min(len(a), len(b))
@@ -102,7 +106,7 @@ def weighted_ratio(a: str, b: str) -> float:
     if longer < 1.5:
         return max(best, 0.95 * token_ratio(a, b))
     scale = 0.9 if longer <= 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+    return max(best, scale * (partial_ratio(a, b) if known is None else known[a, b]), 0.95 * scale * partial_token_ratio(a, b, known))
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -153,22 +157,138 @@ def pairwise(function: Callable[[str, str], float]) -> Callable[[Column, Column]
     return scored
 
 
+#: Cells of the tables that are combed at once.
+AT_ONCE = 1 << 18
+
+
+def _codes(texts: list[str], width: int, filler: int) -> np.ndarray:
+    out = np.full((len(texts), width), filler, np.int32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
+
+
+def _combed(short: list[str], long: list[str]) -> tuple[np.ndarray, int]:
+    """For each pair and each character of `long` the strand that ends below it, numbered so that those from `base` on began
+    above a character; a window's characters that are in no common subsequence are the strands that begin and end in it.
+
+    Strands come in from the left, the lowest row's first, and from above. Two that meet cross unless they have crossed
+    before, but at equal characters they always turn. Cells on a diagonal don't depend on each other.
+    """
+    m, n = max(map(len, short)), max(map(len, long))
+    a, b = _codes(short, m, -1), _codes(long, n, -2)
+    across = np.tile(np.arange(m - 1, -1, -1, dtype=np.int32), (len(short), 1))
+    down = np.tile(np.arange(m, m + n, dtype=np.int32), (len(short), 1))
+    for d in range(m + n - 1):
+        low, high = max(0, d - n + 1), min(m - 1, d)
+        rows, columns = slice(low, high + 1), slice(d - high, d - low + 1)
+        x, y = across[:, rows], down[:, columns][:, ::-1]
+        turn = (a[:, rows] == b[:, columns][:, ::-1]) | (x > y)
+        x_new, y_new = np.where(turn, y, x), np.where(turn, x, y)
+        across[:, rows], down[:, columns] = x_new, y_new[:, ::-1]
+    return down, m
+
+
+def _best_window(short: str, long: str, strands: np.ndarray) -> float:
+    """As `_slide`, from the strands that end below the longer string; those that began above it are numbered from 0."""
+    m, n = len(short), len(long)
+    own = set(short)
+    shared = np.fromiter((c in own for c in long), bool, n)
+    whole = m - (np.lib.stride_tricks.sliding_window_view(strands, m) >= np.arange(n - m + 1)[:, None]).sum(axis=1)
+    best = (whole / m)[shared[m - 1 :]].max(initial=0.0)
+    if m > 1:
+        ends = np.arange(1, m)
+        first = ends - np.cumsum(strands >= 0)[: m - 1]
+        best = max(best, (2 * first / (m + ends))[shared[: m - 1]].max(initial=0.0))
+        starts = np.arange(n - m + 1, n)
+        order = np.sort(strands)
+        last = n - starts - (n - np.searchsorted(order, starts))
+        best = max(best, (2 * last / (m + n - starts))[shared[n - m + 1 :]].max(initial=0.0))
+    return float(best)
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """`partial_ratio` of each pair."""
+    out = [0.0] * len(pairs)
+    work: list[tuple[int, str, str]] = []
+    for k, (a, b) in enumerate(pairs):
+        short, long = sorted((a, b), key=len)
+        if not short:
+            out[k] = float(a == b)
+        elif short in long:
+            out[k] = 1.0
+        else:
+            work.append((k, short, long))
+            if len(short) == len(long):
+                work.append((k, long, short))
+    work.sort(key=lambda w: (len(w[1]), len(w[2])))
+    low = 0
+    while low < len(work):
+        high, widest = low, 0
+        while high < len(work) and (high - low + 1) * (len(work[high][1]) + max(widest, len(work[high][2]))) <= max(AT_ONCE, len(work[low][1]) + len(work[low][2])):
+            widest = max(widest, len(work[high][2]))
+            high += 1
+        part = work[low:high]
+        ends, base = _combed([w[1] for w in part], [w[2] for w in part])
+        for (k, short, long), strands in zip(part, ends, strict=True):
+            out[k] = max(out[k], _best_window(short, long, strands[: len(long)] - base))
+        low = high
+    return out
+
+
+def _all_weighted(pairs: list[tuple[str, str]]) -> list[float]:
+    """`weighted_ratio` of each pair, with all partial ratios in one go."""
+    wanted: dict[tuple[str, str], float] = {}
+    far = [bool(a and b) and max(len(a), len(b)) >= 1.5 * min(len(a), len(b)) for a, b in pairs]
+    for (a, b), is_far in zip(pairs, far, strict=True):
+        if is_far:
+            x, y = set(a.split()), set(b.split())
+            wanted[a, b] = 0.0
+            if not x & y:
+                wanted[_joined(a.split()), _joined(b.split())] = 0.0
+                if x and y:
+                    wanted[_joined(x - y), _joined(y - x)] = 0.0
+    known = dict(zip(wanted, partial_ratios(list(wanted)), strict=True))
+    return [weighted_ratio(a, b, known) if is_far else weighted_ratio(a, b) for (a, b), is_far in zip(pairs, far, strict=True)]
+
+
+def pairwise_batch(function: Callable[[list[tuple[str, str]]], list[float]]) -> Callable[[Column, Column], Column]:
+    """A function of many pairs over two columns; nulls count as empty strings."""
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
+        distinct = list(dict.fromkeys(pairs))
+        known = dict(zip(distinct, function(distinct), strict=True))
+        return pd.Series([known[p] for p in pairs], dtype="float64")
+
+    return scored
+
+
 #: Column functions by name; all scores from 0 to 1.
 SCORES = {
     "ratio": pairwise(ratio),
-    "partial_ratio": pairwise(partial_ratio),
+    "partial_ratio": pairwise_batch(partial_ratios),
     "token_sort": pairwise(token_sort_ratio),
     "token_set": pairwise(token_set_ratio),
-    "WRatio": pairwise(weighted_ratio),
+    "WRatio": pairwise_batch(_all_weighted),
     "jw": pairwise(jaro_winkler),
     "lcs_ratio": pairwise(lcs_ratio),
 }
+_BY_BATCH = {"partial_ratio": partial_ratios, "WRatio": _all_weighted}
+_BY_PAIR = {"ratio": ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "jw": jaro_winkler, "lcs_ratio": lcs_ratio}
+
 
+def all_scores(names: tuple[str, ...] = tuple(SCORES)) -> Callable[[Column | str, Column | str], Column]:
+    """The named scores of a pair as a struct, in one trip to Python."""
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("ratio", "partial_ratio", "token_sort", "token_set", "WRatio", "jw", "lcs_ratio")]))
-def all_scores(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """All scores of a pair in one trip to Python."""
-    functions = {"ratio": ratio, "partial_ratio": partial_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "WRatio": weighted_ratio, "jw": jaro_winkler, "lcs_ratio": lcs_ratio}
-    pairs = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
-    known = {p: [f(*p) for f in functions.values()] for p in set(pairs)}
-    return pd.DataFrame([known[p] for p in pairs], columns=list(functions), dtype="float64")
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        pairs = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
+        distinct = list(dict.fromkeys(pairs))
+        columns = [_BY_BATCH[n](distinct) if n in _BY_BATCH else [_BY_PAIR[n](*p) for p in distinct] for n in names]
+        place = {p: k for k, p in enumerate(distinct)}
+        rows = [place[p] for p in pairs]
+        return pd.DataFrame({n: np.asarray(c, np.float64)[rows] if distinct else [] for n, c in zip(names, columns, strict=True)}, columns=list(names), dtype="float64")
+
+    return scored

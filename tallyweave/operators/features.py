@@ -128,9 +128,11 @@ def features(pairs: DataFrame, s1: DataFrame, pool: DataFrame, version: str = "v
     """
     joined = paired(pairs, s1, pool, version, postal)
     made = _native(version)
-    joined = joined.withColumns({"name_scores": fuzzy.all_scores("name1", "name2"), "addr_scores": fuzzy.all_scores("addr1", "addr2")})
+    wanted = tuple(f for f in (*_FUZZY, "jw", "lcs_ratio") if f"name_{f}" in FEATURES[version])
+    scores = fuzzy.all_scores(wanted)
+    joined = joined.withColumns({"name_scores": scores("name1", "name2"), "addr_scores": scores("addr1", "addr2")})
     for of in ("name", "addr"):
-        made |= {f"{of}_{f}": F.col(f"{of}_scores.{f}") for f in (*_FUZZY, "jw", "lcs_ratio")}
+        made |= {f"{of}_{f}": F.col(f"{of}_scores.{f}") for f in wanted}
     both = (F.col("first1") != "") & (F.col("first2") != "")
     made["first_word_sim"] = F.when(both, fuzzy.SCORES["ratio"](F.col("first1"), F.col("first2"))).otherwise(0.0)
     if version != "baseline":

@@ -395,10 +395,10 @@ def _near(spark, sf_dir):
     return tfidf.similar(s1, pool, 10, 0.15, max_df=0.05, max_features=None, fit_sample=None)
 
 
-@query(f"WITH {_TFIDF} SELECT s1_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM near")
+@query(f"WITH {_TFIDF} SELECT s1_id, CAST(rank AS INT) AS rank, round(score + 1e-9, 4) AS score FROM near")
 def tfidf_topk(spark, sf_dir):
     """Ranks 1 to 10 with their scores; sums of doubles in another order may swap two ids whose scores are all but equal."""
-    return _near(spark, sf_dir).select("s1_id", "rank", F.round("score", 4).alias("score"))
+    return _near(spark, sf_dir).select("s1_id", "rank", F.round(F.col("score") + 1e-9, 4).alias("score"))  # halves of the sixth place round up on either side
 
 
 @query(f"WITH {_TFIDF} SELECT s1_id, cand_id, round(score, 4) AS score FROM near WHERE rank <= 1")

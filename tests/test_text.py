@@ -1,4 +1,6 @@
+import random
 import unicodedata
+
 import pytest
 
 from tallyweave.functions import fuzzy, phonetic, text
@@ -97,3 +99,14 @@ def test_transliteration_follows_unicode_names():
     assert of("DEVANAGARI SIGN ANUSVARA") == of("DEVANAGARI SIGN CANDRABINDU") == of("SINHALA SIGN ANUSVARAYA") == "n"
     assert of("DEVANAGARI SIGN VISARGA") == "h" and of("DEVANAGARI OM") == "om" and of("DEVANAGARI LETTER VOCALIC R") == "ri"
     assert table[0x200C] == table[0x200D] == ""
+
+
+def test_partial_ratios_of_many_pairs_equal_sliding():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé🙂") for _ in range(rng.randint(1, 7)))
+    make = lambda: " ".join(word() for _ in range(rng.randint(0, 12)))
+    pairs = [(make(), make()) for _ in range(400)] + [("", ""), ("", "a"), ("abc", "abc"), ("ab", "ba"), ("a", "xxaxx")]
+    found = fuzzy.partial_ratios(pairs)
+    for pair, value in zip(pairs, found, strict=True):
+        assert value == pytest.approx(fuzzy.partial_ratio(*pair), abs=1e-12), pair
+    assert fuzzy._all_weighted(pairs) == pytest.approx([fuzzy.weighted_ratio(*p) for p in pairs], abs=1e-12)
