@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import fuzzy, phonetic, text
 from tallyweave.operators import blocking, candidates, eda, evaluate, features, ground_truth, profile, tfidf, training
+from tallyweave.plans import linkage
 from tallyweave.sources import delimited
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,9 +422,13 @@ _UNION = f"""{_KEYED}, other AS (SELECT s1_id, cand_id, rank FROM (SELECT a.enti
 @query(f"WITH {_UNION} SELECT s1_id, cand_id, from_set, rank FROM (SELECT s1_id, cand_id, CAST(best // 100000 AS INT) AS from_set, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY best, cand_id) AS INT) AS rank FROM both_sets) WHERE rank <= 4")
 def candidate_union_cap(spark, sf_dir):
     s1, pool = sides(plain_records(spark, sf_dir))
-    prefix = lambda df, n: df.select(F.col("entity_id").alias(n), "country", F.substring("name_norm", 1, 6).alias("p"))
-    other = candidates.first_per_record(prefix(s1, "s1_id").join(prefix(pool, "cand_id"), ["country", "p"]).select("s1_id", "cand_id"), 5)
-    return candidates.union_capped(other, blocking.multikey(s1, pool, blocking.PLAIN_KEYS), 4)
+    return candidates.union_capped(_prefix_pairs(s1, pool, 6), blocking.multikey(s1, pool, blocking.PLAIN_KEYS), 4)
+
+
+@query()
+def linkage_candidates(spark, sf_dir):
+    """The candidates of the linkage with its own parameters: TF-IDF's first 50 and nine keys, at most 60 for a record."""
+    return linkage.block(*sides(plain_records(spark, sf_dir, short=True)), linkage.SETTINGS["v4"])
 
 
 # Comparison of pairs.
@@ -434,10 +439,20 @@ def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return blocking.exact(s1, pool).select("s1_id", "cand_id").unionByName(_neighbours(s1, pool)).distinct(), s1, pool
 
 
+def _prefix_pairs(s1: DataFrame, pool: DataFrame, characters: int, n: int = 5) -> DataFrame:
+    """s1_id, cand_id, rank: pairs that share country and first characters, with the first n pool records by id.
+
+    Those are the same for all records with a prefix, so the pool is cut before the join.
+    """
+    cut = lambda df, name: df.select(F.col("entity_id").alias(name), "country", F.substring("name_norm", 1, characters).alias("p"))
+    order = Window.partitionBy("country", "p").orderBy("cand_id")
+    first = cut(pool, "cand_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return cut(s1, "s1_id").join(first, ["country", "p"]).select("s1_id", "cand_id", "rank")
+
+
 def _neighbours(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """Pairs that share country and the first four characters, so that not all pairs are equal names."""
-    cut = lambda df, n: df.select(F.col("entity_id").alias(n), "country", F.substring("name_norm", 1, 4).alias("p"))
-    return candidates.first_per_record(cut(s1, "s1_id").join(cut(pool, "cand_id"), ["country", "p"]).select("s1_id", "cand_id"), 5).select("s1_id", "cand_id")
+    return _prefix_pairs(s1, pool, 4).drop("rank")
 
 
 _PAIRS = f"""{_keyed_sql(("exact-name", "sorted-tokens"), 10**12, None, 10, _NORM_SHORT)},
@@ -508,7 +523,8 @@ def jaro_winkler(spark, sf_dir):
 
 def _all_features(version: str):
     def made(spark, sf_dir):
-        pairs, s1, pool = _pairs(spark, sf_dir)
+        s1, pool = sides(plain_records(spark, sf_dir, short=True))
+        pairs = linkage.block(s1, pool, linkage.SETTINGS["v4"]).select("s1_id", "cand_id")
         if version == "v3":
             s1, pool = (df.withColumn("core_name", text.core_name(F.col("name_norm"))) for df in (s1, pool))
         return features.features(pairs, s1, pool, version, tfidf.token_idf(s1) if version == "v3" else None)
