@@ -93,34 +93,42 @@ class UnitEncoder:
     #: Marks that are neither letters, digits, white space nor part of a contraction.
     _marks = ".,;:!?#$%&*|"
 
+    def together(self, run: list[str], into: dict[str, bytes], cut: int) -> None:
+        """Ids of strings that each begin a token, by one call; they go into a dict under the strings from place `cut` on."""
+        for low in range(0, len(run), 1 << 12):
+            part = run[low : low + (1 << 12)]
+            whole = "".join(part)
+            ids = np.asarray(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([len(p) for p in part] if whole.isascii() else [len(p.encode()) for p in part])
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            raw, width, begin = ids.tobytes(), self.kind.itemsize, 0
+            for p, end in zip(part, (cuts * width).tolist(), strict=True):
+                into[p[cut:]] = raw[begin:end]
+                begin = end
+
     def learn(self, missing: list[str]) -> None:
         if len(self.pieces) > CACHE_UNITS:
             self.pieces = {}
         cut: dict[str, list[str]] = {}
+        words: list[str] = []
         wanted: set[str] = set()
         self.long = [unit for unit in missing if len(unit) > CACHE_CHARS]
         for unit in missing:
             if (old := self.older.get(unit)) is not None:
                 self.known[unit] = old
+            elif unit.isalpha():
+                words.append(" " + unit)
             elif (parts := self.parts(unit)) is None:
                 self.known[unit] = self.plain(" " + unit)
             else:
                 cut[unit] = parts
                 wanted.update(parts)
+        self.together(words, self.known, 1)
         new = [p for p in wanted if p not in self.pieces]
-        spaced = [p for p in new if p[0] == " " or p[0] == "\n"]
+        self.together([p for p in new if p[0] == " " or p[0] == "\n"], self.pieces, 0)
         for p in new:
             if p[0] != " " and p[0] != "\n":
                 self.pieces[p] = self.plain(p)
-        for low in range(0, len(spaced), 1 << 12):
-            run = spaced[low : low + (1 << 12)]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.cumsum([len(p.encode()) for p in run])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            raw, width, begin = ids.tobytes(), self.kind.itemsize, 0
-            for p, end in zip(run, (cuts * width).tolist(), strict=True):
-                self.pieces[p] = raw[begin:end]
-                begin = end
         for unit, parts in cut.items():
             self.known[unit] = self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
