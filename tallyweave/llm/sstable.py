@@ -34,9 +34,10 @@ MAGIC = b"TWSSTAB1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Distinct pieces of text that a worker remembers, twice at most, and the most characters of each; longer ones, as in
-#: texts without spaces, are forgotten after the batch that they stand in.
-CACHE_UNITS, CACHE_CHARS = 120_000, 64
+#: Distinct pieces of text that a worker remembers, the first that it meets, and the most characters of each; others, and
+#: longer ones as in texts without spaces, are forgotten after the batch that they stand in. After so many batches it
+#: begins anew, as other ranges of ids may have other words.
+CACHE_UNITS, CACHE_CHARS, CACHE_BATCHES = 500_000, 64, 256
 
 
 class UnitEncoder:
@@ -60,9 +61,9 @@ class UnitEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.passing: list[str] = []
+        self.batches = 0
 
     _unsafe = re.compile(r"\s ")
     _cuts = re.compile(r"(?<=\S)(?= )")
@@ -107,16 +108,14 @@ class UnitEncoder:
                 begin = end
 
     def learn(self, missing: list[str]) -> None:
-        if len(self.pieces) > CACHE_UNITS:
+        if len(self.pieces) > CACHE_UNITS // 4:
             self.pieces = {}
         cut: dict[str, list[str]] = {}
         words: list[str] = []
         wanted: set[str] = set()
-        self.long = [unit for unit in missing if len(unit) > CACHE_CHARS]
+        self.passing = missing if len(self.known) > CACHE_UNITS else [unit for unit in missing if len(unit) > CACHE_CHARS]
         for unit in missing:
-            if (old := self.older.get(unit)) is not None:
-                self.known[unit] = old
-            elif unit.isalpha():
+            if unit.isalpha():
                 words.append(" " + unit)
             elif (parts := self.parts(unit)) is None:
                 self.known[unit] = self.plain(" " + unit)
@@ -138,8 +137,9 @@ class UnitEncoder:
         for units in cut:
             if units:
                 wanted.update(units[1:])
-        if len(self.known) > CACHE_UNITS:
-            self.older, self.known = self.known, {}
+        self.batches += 1
+        if self.batches % CACHE_BATCHES == 0:
+            self.known = {}
         self.learn([u for u in wanted if u not in self.known])
         out = []
         for text, units in zip(texts, cut, strict=True):
@@ -152,12 +152,13 @@ class UnitEncoder:
         return out
 
     def forget(self) -> None:
-        """Drop the long pieces of a batch."""
-        for unit in self.long:
-            for part in self.parts(unit) or ():
-                self.pieces.pop(part, None)
+        """Drop the pieces of a batch that aren't kept."""
+        for unit in self.passing:
+            if len(unit) > CACHE_CHARS:
+                for part in self.parts(unit) or ():
+                    self.pieces.pop(part, None)
             self.known.pop(unit, None)
-        self.long = []
+        self.passing = []
 
 
 def encoder(model: bytes) -> UnitEncoder:
