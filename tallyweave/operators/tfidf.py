@@ -1,17 +1,19 @@
-"""Candidate pairs by TF-IDF cosine: an inverted-index join within each country, then the best K of each record.
+"""Candidate pairs by TF-IDF cosine within each country, the best K of each record, exactly.
 
-The join is on numbers that stand for (country, gram), and sums go by numbers that stand for ids; they are hashes that are
-checked to be different for different values. `max_df` is part of the method, and it is what bounds the join: a gram that
-more than that share of the pool has, joins nothing.
+Both sides are dealt into blocks of a bounded number of records, and each pair of blocks of a country meets in one task, which
+has an inverted index of the pool's block and sums the products of a record's grams with it in numpy. What leaves a task
+is the best K of a block for each record. `max_df` is part of the method and keeps the lists of the index short.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Records of a block of the first source and of the pool.
+BLOCK_LEFT, BLOCK_RIGHT = 256, 2048
 TOP_K, MIN_SIMILARITY, MAX_DF, MIN_DF, MAX_FEATURES, FIT_SAMPLE = 50, 0.15, 0.01, 2, 500_000, 100_000
 
 
@@ -38,19 +40,23 @@ def grams(column: Column, low: int = 2, high: int = 4) -> Column:
     return F.concat(*(cut(n) for n in range(low, high + 1)))
 
 
+def _counts(records: DataFrame, gram_column: str) -> DataFrame:
+    """entity_id, country, gram, tf."""
+    return records.select("entity_id", "country", F.explode(gram_column).alias("gram")).groupBy("entity_id", "country", "gram").agg(F.count("*").alias("tf"))
+
+
 def fit(pool: DataFrame, gram_column: str = "grams", min_df: int = MIN_DF, max_df: float = MAX_DF, max_features: int | None = MAX_FEATURES, fit_sample: int | None = FIT_SAMPLE) -> DataFrame:
     """country, gram, idf of the vocabulary: grams of min_df documents or more, of at most the share max_df, the most
     frequent of them where there are more than max_features. idf = ln((1 + n) / (1 + df)) + 1.
 
     With fit_sample, each country's counts are over so many of its records, the first in the order of a hash.
     """
-    rows = pool.select("entity_id", "country", F.col(gram_column).alias("grams"))
+    rows = pool.select("entity_id", "country", gram_column)
     if fit_sample is not None:
         order = Window.partitionBy("country").orderBy(F.xxhash64("entity_id"), "entity_id")
         rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_sample)
     n_docs = rows.groupBy("country").agg(F.count("*").alias("n_docs"))
-    per_doc = rows.select("country", "entity_id", F.explode("grams").alias("gram")).groupBy("country", "entity_id", "gram").agg(F.count("*").alias("tf"))
-    counts = per_doc.groupBy("country", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    counts = _counts(rows, gram_column).groupBy("country", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     kept = counts.join(F.broadcast(n_docs), "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs")))
     if max_features is not None:
         order = Window.partitionBy("country").orderBy(F.desc("total"), "gram")
@@ -58,45 +64,61 @@ def fit(pool: DataFrame, gram_column: str = "grams", min_df: int = MIN_DF, max_d
     return kept.select("country", "gram", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def _numbers(rows: DataFrame, *columns: str) -> Column:
-    """A hash of the columns that is another for each of the rows' values; a seed after which two agree is passed over."""
-    values = F.struct(*columns)
-    for seed in count(1):
-        number = F.xxhash64(*columns, F.lit(seed))
-        ends = rows.groupBy(number.alias("number")).agg(F.min(values).alias("low"), F.max(values).alias("high"))
-        if ends.where("low <> high").isEmpty():
-            return number
-
-
 def vectors(records: DataFrame, vocabulary: DataFrame, sublinear: bool = True, gram_column: str = "grams") -> DataFrame:
-    """entity_id, gram, weight: tf or 1 + ln tf, times idf, of unit length over the vocabulary; `number` instead of the gram
-    where the vocabulary has one. An id has one country."""
-    counts = records.select("entity_id", "country", F.explode(gram_column).alias("gram")).groupBy("entity_id", "country", "gram").agg(F.count("*").alias("tf"))
+    """entity_id, country, gram, weight: tf or 1 + ln tf, times idf, of unit length over the vocabulary."""
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    kept = "number" if "number" in vocabulary.columns else "gram"
-    raw = counts.join(vocabulary, ["country", "gram"]).select("entity_id", "country", kept, (tf * F.col("idf")).alias("w"))
+    raw = _counts(records, gram_column).join(vocabulary, ["country", "gram"]).select("entity_id", "country", "gram", (tf * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("entity_id", "country")))
-    return raw.select("entity_id", "country", kept, (F.col("w") / norm).alias("weight"))
+    return raw.select("entity_id", "country", "gram", (F.col("w") / norm).alias("weight"))
+
+
+def _best_of(one: pd.DataFrame, other: pd.DataFrame, top_k: int, least: float) -> pd.DataFrame:
+    """s1_id, cand_id, score of the best top_k of a block of the pool for each record of a block, from their (id, gram, weight)."""
+    _, gram = np.unique(np.concatenate([one["gram"].to_numpy(str), other["gram"].to_numpy(str)]), return_inverse=True)
+    ids, record = np.unique(one["id"].to_numpy(str), return_inverse=True)
+    names, doc = np.unique(other["id"].to_numpy(str), return_inverse=True)
+    mine, theirs = gram[: len(one)], gram[len(one) :]
+    by_gram, by_record = np.lexsort((doc, theirs)), np.lexsort((mine, record))
+    lists, weights = doc[by_gram], other["weight"].to_numpy()[by_gram]
+    low, high = (np.searchsorted(theirs[by_gram], mine[by_record], side) for side in ("left", "right"))
+    own = one["weight"].to_numpy()[by_record]
+    border = np.searchsorted(record[by_record], np.arange(len(ids) + 1))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k in range(len(ids)):
+        part = slice(border[k], border[k + 1])
+        n = high[part] - low[part]
+        if not n.any():
+            continue
+        places = np.repeat(low[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        scores = np.bincount(lists[places], weights[places] * np.repeat(own[part], n), len(names))
+        scores = np.floor(scores * 1e6 + 0.5) / 1e6
+        near = np.flatnonzero(scores > least)
+        near = near[np.lexsort((near, -scores[near]))][:top_k]
+        found.append((np.full(len(near), k), near, scores[near]))
+    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pd.DataFrame({"s1_id": ids[a], "cand_id": names[b], "score": score})
 
 
 def similar(s1: DataFrame, pool: DataFrame, top_k: int = TOP_K, min_similarity: float = MIN_SIMILARITY, sublinear: bool = True, **fit_options) -> DataFrame:
     """s1_id, cand_id, score, rank: the top_k pool records of each record by cosine, those over min_similarity.
 
-    Both sides have entity_id, country and grams. Scores are rounded to 6 places, and equal ones go by id. Ids come back
-    only for pairs that can be among the top_k.
+    Both sides have entity_id, country and grams; a record without a country is like no other. Scores are rounded to 6
+    places, and equal ones go by id. The records of each side are counted first, for the number of blocks.
     """
     vocabulary = fit(pool, **fit_options)
-    vocabulary = vocabulary.withColumn("number", _numbers(vocabulary, "country", "gram"))
-    names = s1.select("entity_id").unionByName(pool.select("entity_id"))
-    own = _numbers(names, "entity_id")
-    left = vectors(s1, vocabulary, sublinear).select(own.alias("a"), "number", F.col("weight").alias("w1"))
-    right = vectors(pool, vocabulary, sublinear).select(own.alias("b"), "number", F.col("weight").alias("w2"))
-    scores = left.join(right, "number").groupBy("a", "b").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 6).alias("score"))
-    best = F.rank().over(Window.partitionBy("a").orderBy(F.desc("score")))
-    few = scores.where(F.col("score") > min_similarity).withColumn("upto", best).where(F.col("upto") <= top_k).drop("upto")
-    named = few.join(s1.select(own.alias("a"), F.col("entity_id").alias("s1_id")).distinct(), "a").join(pool.select(own.alias("b"), F.col("entity_id").alias("cand_id")).distinct(), "b")
+    n_left, n_right = (max(1, -(-side.count() // size)) for side, size in ((s1, BLOCK_LEFT), (pool, BLOCK_RIGHT)))
+
+    def dealt(side: DataFrame, n: int, others: int, own: str, other: str) -> DataFrame:
+        """Vectors by the number of their block, once for each block of the other side."""
+        rows = vectors(side, vocabulary, sublinear).where("country is not null").select("country", F.col("entity_id").alias("id"), "gram", "weight", F.pmod(F.xxhash64("entity_id"), F.lit(n)).cast("int").alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left, right = dealt(s1, n_left, n_right, "i", "j"), dealt(pool, n_right, n_left, "j", "i").select("country", "id", "gram", "weight", "i", "j").toDF("its", "id", "gram", "weight", "its_i", "its_j")
+    schema = "s1_id string, cand_id string, score double"
+    meet = left.groupBy("country", "i", "j").cogroup(right.groupBy("its", "its_i", "its_j"))
+    best = meet.applyInPandas(lambda one, other: _best_of(one, other, top_k, min_similarity), schema)
     order = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
-    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("s1_id", "cand_id", "score", "rank")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("s1_id", "cand_id", "score", "rank")
 
 
 def token_idf(records: DataFrame, column: str = "name_norm") -> DataFrame:
