@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import phonetic, text
 
+#: The most pool records of a key, and the most candidates of a record.
 MAX_KEY_FREQUENCY = 1000
 CAP_TOTAL = 60
 #: Keys in order of priority, with the most candidates that each gives.
