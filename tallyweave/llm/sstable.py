@@ -111,18 +111,30 @@ class UnitEncoder:
         if len(self.pieces) > CACHE_UNITS // 4:
             self.pieces = {}
         cut: dict[str, list[str]] = {}
-        words: list[str] = []
+        marked: list[tuple[str, str, str]] = []
+        words: dict[str, None] = {}
         wanted: set[str] = set()
-        self.passing = missing if len(self.known) > CACHE_UNITS else [unit for unit in missing if len(unit) > CACHE_CHARS]
+        self.passing = list(missing) if len(self.known) > CACHE_UNITS else [unit for unit in missing if len(unit) > CACHE_CHARS]
         for unit in missing:
             if unit.isalpha():
-                words.append(" " + unit)
+                words[" " + unit] = None
+            elif (head := unit.rstrip(self._marks)) != unit and head.isalpha():  # its word may be known already
+                tail = unit[len(head) :]
+                marked.append((unit, head, tail))
+                if head not in self.known:
+                    words[" " + head] = None
+                    if len(self.known) > CACHE_UNITS or len(head) > CACHE_CHARS:
+                        self.passing.append(head)
+                if tail not in self.pieces:
+                    self.pieces[tail] = self.plain(tail)
             elif (parts := self.parts(unit)) is None:
                 self.known[unit] = self.plain(" " + unit)
             else:
                 cut[unit] = parts
                 wanted.update(parts)
-        self.together(words, self.known, 1)
+        self.together(list(words), self.known, 1)
+        for unit, head, tail in marked:
+            self.known[unit] = self.known[head] + self.pieces[tail]
         new = [p for p in wanted if p not in self.pieces]
         self.together([p for p in new if p[0] == " " or p[0] == "\n"], self.pieces, 0)
         for p in new:
