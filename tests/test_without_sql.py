@@ -5,11 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import fuzzy, phonetic, text
-from tallyweave.operators import blocking, features, profile
+from tallyweave.operators import blocking, features, profile, tfidf
 from tallyweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -145,6 +146,53 @@ def test_tfidf_by_word_grams(spark):
         assert len({c for _, c in want[i]} ^ scores.keys()) <= 2  # ids of scores that round apart
 
 
+def tfidf_sides(spark, n=90):
+    """Records of three words each, some texts equal, one without a text and one without a country."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(25)]
+    rows = [(f"S{1 + k % 3}-{k}", ("x", "y")[k % 2], " ".join(rng.choice(words, 3))) for k in range(n)]
+    rows = [(i, c, rows[k - 7][2] if k % 5 == 4 and k > 7 else t) for k, (i, c, t) in enumerate(rows)]
+    made = spark.createDataFrame([*rows, ("S1-none", "x", None), ("S2-none", None, rows[0][2])], "entity_id string, country string, text string")
+    return rows, *catalogue.sides(made)
+
+
+@pytest.mark.parametrize("blocks", [(8192, 16384), (4, 3)])
+def test_tfidf_by_any_number_of_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(tfidf, "BLOCK_LEFT", blocks[0])
+    monkeypatch.setattr(tfidf, "BLOCK_RIGHT", blocks[1])
+    rows, s1, pool = tfidf_sides(spark)
+    found = tfidf.similar(s1, pool, 4, 0.15, max_df=0.5)
+    got = {(r.s1_id, r["rank"]): (r.score, r.cand_id) for r in found.collect()}
+    want = similar({i: (t, "", c) for i, c, t in rows}, lambda r: word_grams(r[0]), 0.5, 4, 0.15)
+    assert got.keys() == {(i, k + 1) for i, kept in want.items() for k in range(len(kept))}
+    for i, kept in want.items():
+        assert [got[i, k + 1][1] for k in range(len(kept))] == [c for _, c in kept]
+        assert [got[i, k + 1][0] for k in range(len(kept))] == pytest.approx([x for x, _ in kept], abs=1e-9)
+
+
+def test_tfidf_goes_through_small_indexes_in_turn(spark, monkeypatch, tmp_path):
+    rows, s1, pool = tfidf_sides(spark)
+    whole = {(r.s1_id, r["rank"]): r.cand_id for r in tfidf.similar(s1, pool, 4, 0.15, max_df=0.5).where("s1_id != 'S1-none'").collect()}
+    grams = lambda side: side.where("country = 'x'").select("country", F.col("entity_id").alias("id"), tfidf.word_grams(F.col("text")).alias("grams"))
+    words = tfidf._write_vocabulary(tfidf.fit(grams(pool).withColumnRenamed("id", "entity_id"), max_df=0.5), str(tmp_path))
+    dealt = grams(pool).repartitionByRange(9, "id").sortWithinPartitions("id")
+    files = tfidf._write_indexes(dealt, words, str(tmp_path), True)["x"]
+    made, mine = tfidf.Vectors(words["x"], True), grams(s1).toPandas()
+    vectors = made(pa.array([None if g is None else list(g) for g in mine.grams], pa.list_(pa.string())))
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(tfidf, "BLOCK_RIGHT", size)
+        best = tfidf._best_of(vectors, len(mine), files, len(made.words), 4, 0.15)
+        got = {(i, k + 1): c for i, (names, _) in zip(mine.id, best, strict=True) for k, c in enumerate(names)}
+        assert got == {(i, k): c for (i, k), c in whole.items() if i in set(mine.id)} and got
+
+
+def test_tfidf_deals_each_text_once(spark):
+    """Neither grams nor vectors go through a shuffle: what the tasks exchange is a row for each record of the first source."""
+    _, s1, pool = tfidf_sides(spark)
+    plan = tfidf.similar(s1, pool, 4, 0.15, max_df=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "CoGroup" not in plan and "Join" not in plan
+
+
 def test_linkage_candidates(spark):
     """TF-IDF's first, then keys', each once, 60 at most."""
     norm = plain_norm(spark, short=True)
