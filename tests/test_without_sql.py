@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import fuzzy, phonetic, text
-from tallyweave.operators import blocking, features, profile, tfidf
+from tallyweave.operators import blocking, candidates, features, profile, tfidf
 from tallyweave.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -193,6 +194,22 @@ def test_tfidf_deals_each_text_once(spark):
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "CoGroup" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("n", [1, 5, 17, 40, 1000])
+def test_vocabulary_is_fitted_on_the_first_records_by_hash(spark, n):
+    _, _, pool = tfidf_sides(spark)
+    rows = pool.where("country is not null")
+    order = Window.partitionBy("country").orderBy(F.xxhash64("entity_id"), "entity_id")
+    want = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
+    assert sorted(r.entity_id for r in tfidf._first_by_hash(rows, n).collect()) == sorted(r.entity_id for r in want.collect())
+
+
+def test_candidates_meet_and_are_ranked_after_one_shuffle(spark):
+    found = spark.createDataFrame([("S1-1", "S2-1", 0, 1), ("S1-1", "S2-2", 1, 1), ("S1-1", "S2-1", 1, 2)], "s1_id string, cand_id string, key_id int, rank int")
+    for made in (blocking.ranked(found), candidates.union_capped(found, found)):
+        assert [(r.cand_id, r["rank"]) for r in made.orderBy("rank").collect()] == [("S2-1", 1), ("S2-2", 2)]
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_linkage_candidates(spark):
     """TF-IDF's first, then keys', each once, 60 at most."""
     norm = plain_norm(spark, short=True)
@@ -268,7 +285,7 @@ def test_features_of_all_candidates(spark, version):
     idf = {w: math.log((len(firsts) + 1) / (n + 1)) + 1 for w, n in df.items()}
     rows = catalogue.queries()[f"features_{version}"](spark, SF).collect()
     pairs = {(r.s1_id, r.cand_id) for r in catalogue.queries()["linkage_candidates"](spark, SF).collect()}
-    assert {(r.s1_id, r.cand_id) for r in rows} == pairs and pairs
+    assert {(r.s1_id, r.cand_id) for r in rows} == pairs and len(rows) == len(pairs) > 0
     for r in rows:
         want = plain_features(norm[r.s1_id], norm[r.cand_id], r.cand_id, idf)
         for name in features.FEATURES[version]:
