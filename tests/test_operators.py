@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,29 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert {r.entity_id for r in one.collect()} == {r.entity_id for r in two.collect()}
     a, b = training.split(df, "entity_id")
     assert a.count() + b.count() == 1000 and 60 < b.count() < 140
+
+
+def pair_sides(spark):
+    names = [("S1-1", "blue river mills", "12 oak road 4401", "x"), ("S2-1", "blue river mill", "12 oak rd 4401", "x"), ("S3-1", "", None, "x")]
+    rows = spark.createDataFrame(names, "entity_id string, name_norm string, addr_norm string, country_norm string").withColumn("core_name", F.col("name_norm"))
+    return spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-1")], "s1_id string, cand_id string"), rows
+
+
+@pytest.mark.parametrize("version", features.FEATURES)
+def test_a_pair_carries_texts_alone(spark, version):
+    """What is sent with each pair has no arrays; words and grams are made where its sides meet."""
+    pairs, rows = pair_sides(spark)
+    plan = features.paired(pairs, rows, rows, version)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "name2" in plan.left().schema().simpleString() and "array" not in plan.left().schema().simpleString()
+
+
+def test_word_weights_come_by_record(spark):
+    """No word of a pair is a row of its own."""
+    pairs, rows = pair_sides(spark)
+    idf = spark.createDataFrame([("blue", 2.0), ("mill", 3.0), ("mills", 4.0)], "token string, idf double")
+    made = features.features(pairs, rows, rows, "v3", idf)
+    got = {r.cand_id: (r.weighted_name_jaccard, r.weighted_addr_jaccard) for r in made.collect()}
+    assert got == {"S2-1": (pytest.approx(3 / 10), pytest.approx(3 / 5)), "S3-1": (0.0, 0.0)}
+    assert not re.search(r"hashpartitioning\(s1_id#\d+, cand_id", made._jdf.queryExecution().executedPlan().toString())
