@@ -194,6 +194,12 @@ def test_tfidf_deals_each_text_once(spark):
     assert plan.count("Exchange") == 1 and "Generate" not in plan and "CoGroup" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["tfidf_topk", "tfidf_best", "tfidf_word_grams"])
+def test_tfidf_queries_deal_each_text_once(spark, name):
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "CoGroup" not in plan
+
+
 @pytest.mark.parametrize("n", [1, 5, 17, 40, 1000])
 def test_vocabulary_is_fitted_on_the_first_records_by_hash(spark, n):
     _, _, pool = tfidf_sides(spark)
