@@ -16,6 +16,7 @@ count of earlier rows with that id, so that repeated ids stay apart (rows of one
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,14 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Distinct pieces of text that a worker remembers, the first that it meets, and the most characters of each; others, and
 #: longer ones as in texts without spaces, are forgotten after the batch that they stand in. After so many batches it
 #: begins anew, as other ranges of ids may have other words.
-CACHE_UNITS, CACHE_CHARS, CACHE_BATCHES = 500_000, 64, 256
+CACHE_UNITS, CACHE_CHARS, CACHE_BATCHES = 700_000, 64, 50
+#: Bytes of text that are encoded at once: the more, the more often its pieces repeat.
+BATCH_BYTES = 5 << 20
+
+
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones themselves, the others those from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 
 
 class UnitEncoder:
@@ -60,6 +69,10 @@ class UnitEncoder:
             self.lengths[i] = len(token)  # a byte-level token has a character for each byte
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        form = json.loads(model)
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.plain_form = not form.get("normalizer") and usual.items() <= (form.get("pre_tokenizer") or {}).items()
+        self.letters: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.passing: list[str] = []
@@ -94,6 +107,31 @@ class UnitEncoder:
     #: Marks that are neither letters, digits, white space nor part of a contraction.
     _marks = ".,;:!?#$%&*|"
 
+    def words(self, run: list[str]) -> None:
+        """Learn words of letters that follow a space. The library would find each to be one token to merge, so it gets the
+        characters that stand for their bytes, cut at spaces alone; words of letters that it doesn't take for such go the usual way."""
+        from tokenizers import pre_tokenizers
+
+        for c in set("".join(run)) - self.letters.keys() if self.plain_form else ():
+            self.letters[c] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f" a{c}a")) == 1
+        odd = {c for c, is_letter in self.letters.items() if not is_letter}
+        plain = ([w for w in run if odd.isdisjoint(w)] if odd else run) if self.plain_form else []
+        if len(plain) < len(run):
+            self.together([f" {w}" for w in run if not plain or not odd.isdisjoint(w)], self.known, 1)
+        usual, width = self.tokenizer.pre_tokenizer, self.kind.itemsize
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Split(_BYTE_CHARS[32], "merged_with_next")
+        try:
+            for low in range(0, len(plain), 1 << 12):
+                part = plain[low : low + (1 << 12)]
+                whole = (" " + " ".join(part)).encode()
+                ids = np.asarray(self.tokenizer.encode_batch_fast([whole.decode("latin-1").translate(_BYTE_CHARS)], add_special_tokens=False)[0].ids, self.kind)
+                ends = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)[1:], len(whole))
+                cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * width).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(part, (raw[begin:end] for begin, end in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        finally:
+            self.tokenizer.pre_tokenizer = usual
+
     def together(self, run: list[str], into: dict[str, bytes], cut: int) -> None:
         """Ids of strings that each begin a token, by one call; they go into a dict under the strings from place `cut` on."""
         for low in range(0, len(run), 1 << 12):
@@ -114,15 +152,15 @@ class UnitEncoder:
         marked: list[tuple[str, str, str]] = []
         words: dict[str, None] = {}
         wanted: set[str] = set()
-        self.passing = list(missing) if len(self.known) > CACHE_UNITS else [unit for unit in missing if len(unit) > CACHE_CHARS]
+        self.passing = list(missing) if len(self.known) > CACHE_UNITS else [unit for unit in missing if len(unit) > CACHE_CHARS or not unit or unit[-1].isspace()]
         for unit in missing:
             if unit.isalpha():
-                words[" " + unit] = None
+                words[unit] = None
             elif (head := unit.rstrip(self._marks)) != unit and head.isalpha():  # its word may be known already
                 tail = unit[len(head) :]
                 marked.append((unit, head, tail))
                 if head not in self.known:
-                    words[" " + head] = None
+                    words[head] = None
                     if len(self.known) > CACHE_UNITS or len(head) > CACHE_CHARS:
                         self.passing.append(head)
                 if tail not in self.pieces:
@@ -132,7 +170,8 @@ class UnitEncoder:
             else:
                 cut[unit] = parts
                 wanted.update(parts)
-        self.together(list(words), self.known, 1)
+        if words:
+            self.words(list(words))
         for unit, head, tail in marked:
             self.known[unit] = self.known[head] + self.pieces[tail]
         new = [p for p in wanted if p not in self.pieces]
@@ -144,22 +183,63 @@ class UnitEncoder:
             self.known[unit] = self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.added.search(t) else self.units(t) for t in texts]
-        wanted: set[str] = set()
-        for units in cut:
-            if units:
-                wanted.update(units[1:])
+        """Ids of each text. The pieces of all texts are numbered at once, and their ids laid out by number; texts that hold
+        white space before a space, or an added token, go by themselves."""
+        if not texts:
+            return []
         self.batches += 1
         if self.batches % CACHE_BATCHES == 0:
             self.known = {}
-        self.learn([u for u in wanted if u not in self.known])
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        places, pieces = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        number, names = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        found = list(map(self.known.get, names))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        first, last = places[:-1], places[1:] - 1
+        apart = np.zeros(len(texts), bool)
+        if blank := [k for k in new if not names[k] or names[k][-1].isspace()]:  # never among those that are kept
+            unsafe = np.zeros(len(names), bool)
+            unsafe[blank] = True
+            unsafe = unsafe[number]
+            unsafe[last] = False  # no space follows it
+            unsafe[first] &= np.fromiter((names[k] != "" for k in number[first].tolist()), bool, len(texts))
+            apart = np.logical_or.reduceat(unsafe, first)
+        apart |= np.fromiter((self.added.search(t) is not None for t in texts), bool, len(texts))
+        cuts = {k: None if self.added.search(texts[k]) else self.units(texts[k]) for k in np.flatnonzero(apart).tolist()}
+        inner = np.repeat(~apart, np.diff(places))
+        inner[first] = False  # no space before it
+        used = np.zeros(len(names), bool)
+        used[number[inner]] = True
+        new = [k for k in new if used[k]]
+        wanted = dict.fromkeys([names[k] for k in new])
+        for units in cuts.values():
+            wanted.update(dict.fromkeys(u for u in units[1:] if u not in self.known) if units else {})
+        self.learn(list(wanted))
+        for k in new:
+            found[k] = self.known[names[k]]
+        found = [ids or b"" for ids in found]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        begin, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), self.kind)
+        del found, cut, pieces
+        long = np.where(inner, size[number], 0)
+        ends = np.concatenate([[0], np.cumsum(long)])
+        opening = number[first].tolist()
+
+        def laid_out(low: int, high: int) -> bytes:
+            units = slice(places[low], places[high])
+            start, stop = ends[places[low]], ends[places[high]]
+            return ids[np.repeat(begin[number[units]] - ends[:-1][units], long[units]) + np.arange(start, stop)].tobytes()
+
         out = []
-        for text, units in zip(texts, cut, strict=True):
-            if units is None:
+        for k, text in enumerate(texts):
+            if k % 64 == 0:
+                raw, at = laid_out(k, min(k + 64, len(texts))), ((ends[places[k : k + 65]] - ends[places[k]]) * self.kind.itemsize).tolist()
+            if k not in cuts:
+                out.append((self.plain(names[opening[k]]) if names[opening[k]] else b"") + raw[at[k % 64] : at[k % 64 + 1]])
+            elif (units := cuts[k]) is None:
                 out.append(self.plain(text))
-                continue
-            first = self.plain(units[0]) if units[0] else b""
-            out.append(first + b"".join(map(self.known.__getitem__, units[1:])))
+            else:
+                out.append((self.plain(units[0]) if units[0] else b"") + b"".join(map(self.known.__getitem__, units[1:])))
         self.forget()
         return out
 
@@ -348,7 +428,7 @@ def write(docs: DataFrame, folder: str, model: bytes, end_id: int | None = 0, id
             writer = Writer(out, encode.kind.itemsize)
             while batch is not None:
                 _, at = common.utf8(batch.column(1))
-                for low, high in common.slices(at):
+                for low, high in common.slices(at, BATCH_BYTES):
                     part = batch.slice(low, high - low)
                     values = encode.encode([t or "" for t in part.column(1).to_pylist()])
                     for doc_id, value in zip(part.column(0).to_pylist(), values, strict=True):

@@ -99,6 +99,28 @@ def test_shards_round_trip(spark, tmp_path):
     assert all(sstable.Reader(m["path"]).get(123_456_789) is None for m in manifest)
 
 
+def test_a_piece_is_looked_up_once_for_all_texts_of_a_batch():
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, key, default=None):
+            self.n += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.n += 1
+            return super().__getitem__(key)
+
+    model = queries.tokenizer_file("byte_bpe_50k.json")
+    encode, library = sstable.UnitEncoder(model), Tokenizer.from_buffer(model)
+    encode.known = Counted()
+    texts = [" word Été, ꟲx \U0002ebf0." * 1000, "", " two  spaces", "a<|endoftext|> b", *random_texts(200, 3)]
+    assert [np.frombuffer(x, encode.kind).tolist() for x in encode.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode.known.n < 2500
+
+
 def test_shards_of_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     manifest = sstable.write(df, f"file://{tmp_path}/e", queries.tokenizer_file("byte_bpe_50k.json"))
