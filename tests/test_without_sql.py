@@ -298,6 +298,13 @@ def test_features_of_all_candidates(spark, version):
             assert r[name] == pytest.approx(float(want[name]), abs=1e-9), (name, r.s1_id, r.cand_id)
 
 
+def test_a_core_name_that_is_the_whole_name_is_not_sent_twice(spark):
+    pool = spark.createDataFrame([("S2-1", "alder mill", "alder mill"), ("S2-2", "alder mill ltd", "alder mill"), ("S2-3", "ltd", ""), ("S2-4", None, None)], "entity_id string, name_norm string, core_name string")
+    sent = features._sent(features.plain_side(pool, 2, "v3"))
+    assert [r.core2 for r in sent.orderBy("entity_id2").collect()] == [None, "alder mill", "", None]
+    assert [r.core2 for r in features._received(sent).orderBy("entity_id2").collect()] == ["alder mill", "alder mill", "", ""]
+
+
 def test_approximate_counts_are_close(spark):
     table = catalogue.table(spark, SF, "lineitem")
     exact = {r.column_name: r.distinct_count for r in profile.missing_distinct(table).collect()}
