@@ -101,6 +101,31 @@ def test_transliteration_follows_unicode_names():
     assert table[0x200C] == table[0x200D] == ""
 
 
+def test_scores_of_many_pairs_equal_those_of_one(monkeypatch):
+    """Texts of one word of bits, of two and of more; no pair of ordinary lengths is compared by a scalar loop or combed."""
+    rng = random.Random(5)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("a b", "b a"), ("a a", "a"), (" ", "a"), ("\ud800x", "x\ud800")]
+    for of in ("ab ", "abcdefgh ", "aé漢🙂 "):
+        for size in (1, 5, 40, 63, 64, 65, 119, 128, 140):
+            for _ in range(12):
+                a = letters(size, of)
+                b = letters(rng.randint(0, 150), of) if rng.random() < 0.5 else a[: size // 3] + letters(2, of) + a[rng.randint(0, size) :]
+                pairs.append(rng.choice([(a, b), (b, a)]))
+    plain = {"ratio": fuzzy.ratio, "partial_ratio": fuzzy.partial_ratio, "token_sort": fuzzy.token_sort_ratio, "token_set": fuzzy.token_set_ratio, "WRatio": fuzzy.weighted_ratio, "lcs_ratio": fuzzy.lcs_ratio, "jw": fuzzy.jaro_winkler}
+    assert set(plain) == set(fuzzy.SCORES)
+    want = {name: [f(*p) for p in pairs] for name, f in plain.items()}
+    for name in ("lcs", "_slide"):
+        monkeypatch.setattr(fuzzy, name, None)
+    found = fuzzy.Scores(pairs)
+    for name, values in want.items():
+        assert list(getattr(found, name)) == pytest.approx(values, abs=1e-12), name
+        assert len(getattr(fuzzy.Scores([]), name)) == 0
+    monkeypatch.setattr(fuzzy, "_combed", None)
+    ordinary = [p for p in pairs if all(50 <= len(x) <= 120 for x in p)]
+    assert ordinary and len(fuzzy.partial_ratios(ordinary)) == len(ordinary)
+
+
 def test_partial_ratios_of_many_pairs_equal_sliding():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcé🙂") for _ in range(rng.randint(1, 7)))
