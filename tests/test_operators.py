@@ -158,6 +158,17 @@ def test_a_pair_carries_texts_alone(spark, version):
     assert "name2" in plan.left().schema().simpleString() and "array" not in plan.left().schema().simpleString()
 
 
+def test_sounds_of_a_first_side_come_by_record(spark):
+    """A pair is coded for its second side alone, and its second id is sent once."""
+    pairs, rows = pair_sides(spark)
+    made = features.features(pairs, rows, rows, "v2")
+    assert {r.cand_id: (r.name_phon_exact, r.name_phon_jaccard, r.is_s3) for r in made.collect()} == {"S2-1": (0.0, 0.5, 0.0), "S3-1": (0.0, 0.0, 1.0)}
+    plan = made._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "sound1" in plan.right().schema().simpleString() and "entity_id2" not in plan.left().schema().simpleString()
+
+
 def test_word_weights_come_by_record(spark):
     """No word of a pair is a row of its own."""
     pairs, rows = pair_sides(spark)
