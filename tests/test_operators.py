@@ -169,6 +169,18 @@ def test_sounds_of_a_first_side_come_by_record(spark):
     assert "sound1" in plan.right().schema().simpleString() and "entity_id2" not in plan.left().schema().simpleString()
 
 
+@pytest.mark.parametrize("version", features.FEATURES)
+def test_a_pair_makes_one_trip_to_python(spark, version):
+    """Each trip is another worker beside the executor's heap."""
+    pairs, rows = pair_sides(spark)
+    plan = features.features(pairs, rows, rows, version)._jdf.queryExecution().optimizedPlan()
+    trips = 0
+    while plan.nodeName() != "Join":
+        trips += plan.nodeName() == "ArrowEvalPython"
+        plan = plan.children().apply(0)
+    assert trips == 1
+
+
 def test_word_weights_come_by_record(spark):
     """No word of a pair is a row of its own."""
     pairs, rows = pair_sides(spark)
