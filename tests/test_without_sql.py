@@ -209,6 +209,19 @@ def test_vocabulary_is_fitted_on_the_first_records_by_hash(spark, n):
     assert sorted(r.entity_id for r in tfidf._first_by_hash(rows, n).collect()) == sorted(r.entity_id for r in want.collect())
 
 
+def test_a_vocabulary_is_fitted_on_all_records(spark):
+    n = 100_200
+    pool = spark.range(n).select(F.lit("x").alias("country"), F.col("id").cast("string").alias("entity_id"), F.array((F.col("id") % 1002).cast("string")).alias("grams"))
+    got = [r.idf for r in tfidf.fit(pool).collect()]
+    assert len(got) == 1002 and got == pytest.approx([math.log((1 + n) / 101) + 1] * 1002, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["tfidf_word_grams", "linkage_candidates"])
+def test_queries_take_no_sample_for_their_vocabulary(spark, monkeypatch, name):
+    monkeypatch.setattr(tfidf, "_first_by_hash", lambda *_: pytest.fail("a sample was taken"))
+    catalogue.queries()[name](spark, SF)
+
+
 def test_candidates_meet_and_are_ranked_after_one_shuffle(spark):
     found = spark.createDataFrame([("S1-1", "S2-1", 0, 1), ("S1-1", "S2-2", 1, 1), ("S1-1", "S2-1", 1, 2)], "s1_id string, cand_id string, key_id int, rank int")
     for made in (blocking.ranked(found), candidates.union_capped(found, found)):
