@@ -243,6 +243,34 @@ def test_linkage_candidates(spark):
         assert [c for _, _, c in sorted(got[i])] == want, i
 
 
+def test_linkage_candidates_of_whole_documents(spark):
+    norm = plain_norm(spark, short=False)
+    near = similar(norm, lambda r: word_grams(f"{r[0]} {r[0]} {r[1]}"), 0.01, 50, 0.15)
+    keys = blocked(norm, blocking.NINE_KEYS, r"\d{4,}")
+    got = defaultdict(list)
+    for r in catalogue.queries()["linkage_candidates"](spark, SF).collect():
+        got[r.s1_id].append((r["rank"], r.cand_id))
+    for i in got.keys() | near.keys() | keys.keys():
+        first = [c for _, c in near.get(i, [])]
+        want = (first + [c for c in keys.get(i, []) if c not in first])[:60]
+        assert [c for _, c in sorted(got[i])] == want, i
+
+
+@pytest.mark.parametrize("once", [40, 1 << 20])
+def test_grams_cut_in_numpy_equal_those_of_expressions(spark, monkeypatch, once):
+    monkeypatch.setattr(tfidf, "CHARS_AT_ONCE", once)
+    texts = ["a bcd", "", " ", None, "Ünï  \tcode 😀😀 x", "aaaa aaaa", "b", "ab cd\nef ", "\x00 \x00a\x00", "word " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    want = [Counter(r.g or []) for r in df.select("n", tfidf.word_grams(F.col("t")).alias("g")).orderBy("n").collect()]
+    column = pa.array([r.g for r in df.select("n", tfidf.spaced(F.col("t")).alias("g")).orderBy("n").collect()], pa.string())
+    got = [Counter() for _ in texts]
+    for low, size in tfidf._slices(column):
+        record, gram, tf, words = tfidf._counted(column.slice(low, size))
+        for i, g, n in zip(record + low, gram, tf, strict=True):
+            got[i][words[int(g)].as_py()] += int(n)
+    assert got == want
+
+
 def jaccard(a, b, both_empty=0.0):
     return len(a & b) / len(a | b) if a or b else both_empty
 
