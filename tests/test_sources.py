@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.__main__ import main
 from tallyweave.plans import explore, linkage, report
-from tallyweave.sources import delimited
+from tallyweave.sources import delimited, texts
 from tallyweave.streaming import incremental
 
 
@@ -129,3 +129,11 @@ def test_entry(spark, name):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_texts_are_found_where_they_were_put(spark, monkeypatch):
+    monkeypatch.setattr(texts, "AT_ONCE", 3)
+    rows = [(str(k), None if k % 4 == 1 else "é😀" * k, "x" * (k % 3)) for k in range(20)]
+    placed = texts.put(spark.createDataFrame(rows, "id string, a string, b string").repartition(3), "id")
+    got = texts.get(placed.unionByName(placed).withColumn("n", F.lit(7)), ["a", "b"])
+    assert got.columns == ["id", "n", "a", "b"] and sorted(map(tuple, got.drop("n").collect()), key=str) == sorted(rows * 2, key=str)

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 
 from tallyweave.functions import fuzzy, phonetic, text
@@ -135,3 +136,30 @@ def test_partial_ratios_of_many_pairs_equal_sliding():
     for pair, value in zip(pairs, found, strict=True):
         assert value == pytest.approx(fuzzy.partial_ratio(*pair), abs=1e-12), pair
     assert fuzzy._all_weighted(pairs) == pytest.approx([fuzzy.weighted_ratio(*p) for p in pairs], abs=1e-12)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh i", "aé😀 "])
+def test_scores_of_long_texts_equal_those_of_short_ones(monkeypatch, letters):
+    """Where texts are taken one by one, and where characters of a table are few."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+    pairs = [(word(90), word(90)) for _ in range(150)] + [(x, x[: rng.randint(0, 40)] + word(9) + x[rng.randint(0, 90) :]) for x in (word(90) for _ in range(100))]
+    plain = {"ratio": fuzzy.ratio, "partial_ratio": fuzzy.partial_ratio, "token_sort": fuzzy.token_sort_ratio, "token_set": fuzzy.token_set_ratio, "WRatio": fuzzy.weighted_ratio, "jw": fuzzy.jaro_winkler, "lcs_ratio": fuzzy.lcs_ratio}
+    monkeypatch.setattr(fuzzy, "LONG", 30)
+    monkeypatch.setattr(fuzzy, "CELLS_AT_ONCE", 500)
+    monkeypatch.setattr(fuzzy, "CHARS_AT_ONCE", 1000)
+    got = [np.concatenate(x) for x in zip(*([np.asarray(getattr(fuzzy.Scores(part), n)) for n in plain] for part in fuzzy._parts(pairs)), strict=True)]
+    for own, f in zip(got, plain.values(), strict=True):
+        assert own.tolist() == pytest.approx([f(*p) for p in pairs], abs=1e-12)
+
+
+def test_edit_distances():
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 80))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert fuzzy.edit_distance(a, b) == row[-1]

@@ -339,6 +339,30 @@ def test_features_of_all_candidates(spark, version):
             assert r[name] == pytest.approx(float(want[name]), abs=1e-9), (name, r.s1_id, r.cand_id)
 
 
+@pytest.fixture(scope="module")
+def whole_pairs(spark):
+    """The candidates of whole documents, and all features of those that plain code compares soonest."""
+    norm = plain_norm(spark, short=False)
+    firsts = [r for i, r in norm.items() if i.startswith("S1-")]
+    df = Counter(w for name, *_ in firsts for w in set(name.split()))
+    idf = {w: math.log((len(firsts) + 1) / (n + 1)) + 1 for w, n in df.items()}
+    pairs = {(r.s1_id, r.cand_id) for r in catalogue.queries()["linkage_candidates"](spark, SF).collect()}
+    cells = lambda p: max(len(norm[p[0]][k]) * len(norm[p[1]][k]) for k in (0, 1))
+    soonest = sorted((p for p in pairs if cells(p) > 200**2), key=lambda p: (cells(p), p))[:8]
+    assert len(soonest) == 8 and all(norm[i][1] != norm[c][1] for i, c in soonest[:1])
+    return pairs, {p: plain_features(norm[p[0]], norm[p[1]], p[1], idf) for p in soonest}
+
+
+@pytest.mark.parametrize("version", features.FEATURES)
+def test_features_of_whole_documents(spark, whole_pairs, version):
+    pairs, want = whole_pairs
+    rows = {(r.s1_id, r.cand_id): r for r in catalogue.queries()[f"features_{version}"](spark, SF).collect()}
+    assert rows.keys() == pairs
+    for p, own in want.items():
+        for name in features.FEATURES[version]:
+            assert rows[p][name] == pytest.approx(float(own[name]), abs=1e-9), (name, p)
+
+
 def test_a_core_name_that_is_the_whole_name_is_not_sent_twice(spark):
     pool = spark.createDataFrame([("S2-1", "alder mill", "alder mill"), ("S2-2", "alder mill ltd", "alder mill"), ("S2-3", "ltd", ""), ("S2-4", None, None)], "entity_id string, name_norm string, core_name string")
     sent = features._sent(features.plain_side(pool, 2, "v3"))
