@@ -2,6 +2,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyweave.functions import fuzzy, phonetic, text
@@ -163,3 +164,15 @@ def test_edit_distances():
             for j, y in enumerate(b, 1):
                 before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
         assert fuzzy.edit_distance(a, b) == row[-1]
+
+
+@pytest.mark.parametrize("once", [1, 50, 1000])
+def test_scores_do_not_depend_on_how_many_rows_are_taken_at_once(monkeypatch, once):
+    monkeypatch.setattr(fuzzy, "CHARS_AT_ONCE", once)
+    rng = random.Random(13)
+    a = ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None]
+    ratios, weighted = fuzzy._scored(("ratio", "WRatio"), pa.array(a), pa.array(a[::-1]))
+    pairs = [(x or "", y or "") for x, y in zip(a, a[::-1], strict=True)]
+    assert ratios.to_pylist() == [fuzzy.ratio(*p) for p in pairs]
+    assert weighted.to_pylist() == pytest.approx([fuzzy.weighted_ratio(*p) for p in pairs], abs=1e-12)
+    assert [len(x) for x in fuzzy._scored(("ratio",), pa.array([], pa.string()), pa.array([], pa.string()))] == [0]
